@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import simhash
+from granary.llm import exact_dedup, mixing, simhash, url_filter
+from granary.llm.common import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,7 +21,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op2_oracle() -> str:
+    bias, weights = url_filter.default_model()
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+    case = lambda at: " ".join(
+        f"when (host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}') then '{(r, what)[at]}'" for what, r in rules
+    )
+    n = url_filter.GRAM
+    return f"""
+with rest as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+parts as (select page_id, {LOWERED.format("regexp_extract(r, '^[^/?#]*', 0)")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+model as (select [{", ".join(map(str, weights))}] as w),
+scored as (select page_id, host, path, '^' || host || '$' || path as t from parts),
+sums as (select page_id, host, path, cast({bias} + coalesce(list_sum(list_transform(range(1, length(t) - {n - 2}), lambda i: w[1 + ('0x' || substr(md5(substr(t, i, {n})), 1, 7))::bigint % {url_filter.BUCKETS}])), 0) as bigint) as margin from scored, model)
+select page_id, host, path, case {case(0)} end as rule, coalesce(case {case(1)} end, case when margin > 0 then 'block' else 'allow' end) as verdict, margin from sums
+"""
+
+
+ORACLES["op2_url_filters"] = op2_oracle()
+
+
+@query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new index takes the whole table as its first batch."""
+    index = exact_dedup.DigestIndex(spark, shared_folder(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op4_exact_dedup"] = f"""
+with t as (select doc_id, sha256({LOWERED.format("coalesce(text, '')")}) as text_sha256 from documents),
+w as (select doc_id, text_sha256, max(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
+  row_number() over (partition by text_sha256 order by doc_id desc nulls last) as r from t)
+select doc_id, keep_id, group_size, r = 1 as kept, text_sha256 from w
+"""
+
+#: Target weights of the registered mix; every other source weighs 1.
+WEIGHTS = {"src1": 2.0, "src2": 2.0, "src3": 0.5}
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, default_weight=1.0)
+
+
+ORACLES["op9_mixing"] = f"""
+with by_source as (select source, sum(greatest(coalesce(length(text), 0), 1)) as volume,
+    case source {" ".join(f"when '{s}' then {w}::double" for s, w in WEIGHTS.items())} else 1.0::double end as weight from documents group by source),
+rated as (select source, weight / sum(weight) over () * sum(volume::double) over () / volume as rate from by_source),
+terms as (with recursive t(source, rate, k, p, c) as (
+    select source, rate, 0, exp(-rate), exp(-rate) from rated
+    union all select source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) from t where k + 1 <= ceil(rate + 12 * sqrt(rate) + 30)) select * from t),
+cdfs as (select source, list(c order by k) as cdf from terms group by source),
+drawn as (select d.*, len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('17:' || d.doc_id || ':1'), 1, 13))::bigint / 4503599627370496.0::double)) as n
+    from documents d join cdfs on d.source is not distinct from cdfs.source),
+each as (select doc_id, text, lang, source, n_chars, unnest(range(1, n + 1)) as copy from drawn)
+select doc_id, text, lang, source, n_chars, copy::int as copy, ('0x' || substr(md5('17:' || doc_id || ':copy:' || copy), 1, 15))::bigint as shuffle_key from each
+"""
