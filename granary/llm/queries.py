@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import exact_dedup, mixing, simhash, url_filter
+from granary.llm import exact_dedup, mixing, quality, simhash, toxicity, url_filter
 from granary.llm.common import shared_folder
 
 QUERIES: dict = {}
@@ -70,6 +70,19 @@ w as (select doc_id, text_sha256, max(doc_id) over (partition by text_sha256) as
 select doc_id, keep_id, group_size, r = 1 as kept, text_sha256 from w
 """
 
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 #: Target weights of the registered mix; every other source weighs 1.
 WEIGHTS = {"src1": 2.0, "src2": 2.0, "src3": 0.5}
 
