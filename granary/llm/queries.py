@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import exact_dedup, mixing, quality, simhash, toxicity, url_filter
+from granary.llm import exact_dedup, licenses, mixing, quality, simhash, toxicity, url_filter
 from granary.llm.common import shared_folder
 
 QUERIES: dict = {}
@@ -77,6 +77,37 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_oracle() -> str:
+    templates = licenses.BASE + licenses.NOTICES
+    postings = ", ".join(f"({t}, {k}, '{w}')" for t, x in enumerate(templates) for k, w in enumerate(x.words))
+    about = ", ".join(f"({t}, '{x.label}', {x.base}, {len(x.words)}, ' {' '.join(w for w in x.key.split())} ')" for t, x in enumerate(templates))
+    return f"""
+with postings(t, k, token) as (values {postings}), about(t, label, base, n, key) as (values {about}),
+docs as (select doc_id, list_filter(regexp_split_to_array({LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+each as (select doc_id, unnest(w) as token, unnest(range(len(w))) as pos from docs),
+words as (select * from each where token in (select token from postings)),
+df as (select token, count(distinct doc_id) as df from words group by token),
+anchors as (select t, arg_min(k, (coalesce(df, 0), -length(token), k)) as k, arg_min(token, (coalesce(df, 0), -length(token), k)) as token from postings left join df using (token) group by t),
+proposed as (select doc_id, t, pos - k as s from words join anchors using (token)),
+agreed as (select p.doc_id, p.t, p.s, count(*) as same from proposed p join postings o on o.t = p.t join words x on x.doc_id = p.doc_id and x.pos = p.s + o.k and x.token = o.token group by all),
+matched as (select g.doc_id, g.s, a.label, a.base from agreed g join about a using (t) join docs d using (doc_id)
+    where case when a.base then g.s >= 0 and g.same = a.n else g.s + a.n > 0 and g.same >= 0.75 * a.n
+      and contains(' ' || array_to_string(d.w[greatest(g.s, 0) + 1 : g.s + a.n], ' ') || ' ', a.key) end),
+summed as (select doc_id, count(*) filter (base) as n_base, min(s) filter (base) as first_word, max(s) filter (base) as last_word,
+    string_agg(distinct case when base then label end, ',' order by case when base then label end) as base_labels, string_agg(distinct label, ',' order by label) as labels, count(*) filter (not base) as notices from matched group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels,
+    coalesce(labels, '') as labels, case when notices > 0 then 1.0::double when n_base > 0 then 0.8::double else 0.0::double end as score from docs left join summed using (doc_id)
+"""
+
+
+ORACLES["op7_license_scans"] = op7_oracle()
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
