@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import exact_dedup, licenses, mixing, quality, simhash, toxicity, url_filter
+from granary.llm import decontaminate, exact_dedup, licenses, mixing, quality, simhash, toxicity, url_filter
 from granary.llm.common import shared_folder
 
 QUERIES: dict = {}
@@ -77,6 +77,31 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that leaks and item that it leaks; clean documents have none."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), *[F.col(c).cast("bigint").alias(c) for c in ("item_words", "overlap", "matched")])
+
+
+def op6_oracle() -> str:
+    """Aligns every word of every item with every equal word of every document."""
+    words = f"list_filter(regexp_split_to_array({LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    w, need, least = decontaminate.WINDOW, 11, decontaminate.MIN_WORDS
+    return f"""
+with docs as (select distinct doc_id, {words} as w from documents), items as (select * from (select distinct item_id, {words} as w from benchmark) where len(w) >= {least}),
+dw as (select doc_id, len(w) as n, unnest(w) as token, unnest(range(len(w))) as i from docs), iw as (select item_id, len(w) as m, unnest(w) as token, unnest(range(len(w))) as j from items),
+same as (select doc_id, item_id, n, m, i - j as d, j from dw join iw using (token)),
+counted as (select *, count(*) over (partition by doc_id, item_id, d) as matched, count(*) over (partition by doc_id, item_id, d order by j range between current row and {w - 1} following) as run from same),
+aligned as (select doc_id, item_id, m, d, any_value(matched) as matched, case when m >= {w} then max(run) else any_value(matched) end as overlap from counted
+    where least(m, n - d) - greatest(-d, 0) >= least({w}, m) group by doc_id, item_id, n, m, d)
+select doc_id, item_id, m::bigint as item_words, max(overlap)::bigint as overlap, max(matched)::bigint as matched from aligned where overlap >= case when m >= {w} then {need} else m end group by doc_id, item_id, m
+"""
+
+
+ORACLES["op6_benchmark_decontamination"] = op6_oracle()
+
+
 @query
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
