@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, exact_dedup, licenses, mixing, quality, simhash, toxicity, url_filter
-from granary.llm.common import shared_folder
+from granary.llm import chat, decontaminate, exact_dedup, licenses, mixing, quality, simhash, toxicity, url_filter
+from granary.llm.common import shared_folder, staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -133,6 +133,14 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
 ORACLES["op7_license_scans"] = op7_oracle()
 
 
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(staged(chat.format_chats(turns.unionByName(more)), "chats")).withColumnRenamed("conv", "conv_id")
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
