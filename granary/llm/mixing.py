@@ -19,6 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import staged
+
+#: With at most so many sources (counted first), their rates are broadcast; with more, they are joined by a shuffle that Spark splits where it is skewed.
+BROADCAST_SOURCES = 10_000
 #: A longer distribution is drawn as a sum of independent ones with this mean at most, so exp(-mean) can't underflow.
 MEAN = 500.0
 
@@ -37,6 +41,7 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 0.
     """(src, volume, rate, parts, cdf): per source, from all documents. total: target volume in characters, by default what docs has."""
     volume = F.greatest(F.coalesce(F.char_length(text_col), F.lit(0)), F.lit(1)).cast("bigint")
     by = docs.groupBy(F.col(source_col).alias("src")).agg(F.sum(volume).alias("volume"))
+    by = staged(by, "volumes")
     weight = F.lit(float(default_weight))
     if weights:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
@@ -66,6 +71,9 @@ def mix(
     spark = docs.sparkSession
     names = docs.columns
     table = rates(docs, weights, default_weight, total, text_col, source_col).select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    table = staged(table, "rates")
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.concat(key, F.lit(":"), j.cast("string")))))
     copies = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, j: n + draw(j))

@@ -22,7 +22,9 @@ def copies(rate: float, seed: int, key: str) -> int:
     return n
 
 
-def test_copies_by_definition(spark):
+@pytest.mark.parametrize("bound", [0, 10_000])
+def test_copies_by_definition(spark, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
     rows = [(i, "x" * (1 + i % 7), "hot" if i % 3 else f"s{i % 5}", 1) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __copies int")
     docs = docs.withColumnRenamed("__copies", "rate")
