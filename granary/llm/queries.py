@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, exact_dedup, licenses, mixing, quality, simhash, toxicity, url_filter
+from granary.llm import chat, decontaminate, exact_dedup, licenses, mixing, quality, simhash, token_output, toxicity, url_filter
 from granary.llm.common import shared_folder, staged
 
 QUERIES: dict = {}
@@ -55,6 +55,21 @@ select page_id, host, path, case {case(0)} end as rule, coalesce(case {case(1)}
 ORACLES["op2_url_filters"] = op2_oracle()
 
 
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """Encodes docs into segments in the shared folder and reads them back, a row per document."""
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    path = shared_folder(spark, "segments")
+    token_output.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_output.read_tokens(spark, path).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_of(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new index takes the whole table as its first batch."""
