@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import simhash
+from granary.llm import decontaminate, mixing, quality, queries, simhash
 from granary.llm.common import staged
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is trained on the labelled ones among docs."""
+    return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document may come several times or not at all."""
+    return mixing.mix(docs, queries.WEIGHTS, default_weight=1.0).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token segments on disk; a row for each document read back from them."""
+    return queries.tokens_of(docs)
+
+
+STAGES = [("quality", keep_quality), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("mix", mixed), ("encode", encoded)]
 
-#: Fingerprints, models and binary blocks are beyond SQL; tests compare the stages with brute force.
+#: Models, fingerprints and binary blocks are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

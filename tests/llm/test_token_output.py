@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -60,10 +61,15 @@ def texts():
     return odd + [rng.choice([" ", "\n", ", "]).join(rng.choice(pool) + rng.choice(["", "ing", "s"]) for _ in range(rng.randint(1, 80))) for _ in range(150)]
 
 
-def library(text):
+@cache
+def whole():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH)
+
+
+def library(text):
+    return whole().encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_library(monkeypatch):
