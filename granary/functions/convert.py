@@ -10,6 +10,7 @@ import uuid
 import zlib
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,8 +168,6 @@ COMPRESSED = ("jpg", "zip", "gz", "bz2", "z", "7z", "cab", "rar", "mp3", "mpg")
 
 def wrap_attachments(df: DataFrame, data: str, kind: str, out: str) -> DataFrame:
     """Adds the stored form of attachments: flag (1: deflated) and length as uint32, then header length, version, type length and type in UTF-16, then the contents."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def of(contents: pd.Series, kinds: pd.Series) -> pd.Series:
         return pd.Series([None if c is None else pack_attachment(bytes(c), k or "") for c, k in zip(contents, kinds, strict=True)])
@@ -177,8 +176,6 @@ def wrap_attachments(df: DataFrame, data: str, kind: str, out: str) -> DataFrame
 
 
 def unwrap_attachments(df: DataFrame, data: str, out: str) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def of(contents: pd.Series) -> pd.Series:
         return pd.Series([None if c is None else unpack_attachment(bytes(c)) for c in contents])
@@ -213,8 +210,6 @@ def unpack_attachment(stored: bytes) -> bytes:
 
 def unwrap_packages(df: DataFrame, data: str, out: str) -> DataFrame:
     """Adds the file embedded in each OLE package; other payloads come back as they are."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def of(contents: pd.Series) -> pd.Series:
         return pd.Series([None if c is None else unpack_package(bytes(c)) for c in contents])
