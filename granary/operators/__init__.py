@@ -1 +1 @@
-
+"""Operators over relations: scans, checks, changes, relationships, nested columns."""

@@ -1 +1 @@
-
+"""Databases, their storage, and links to other sources."""

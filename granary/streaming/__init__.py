@@ -1 +1,4 @@
+"""Nothing here: the store that this library follows has no streams in the sense of watermarks or state, only lazy scans.
 
+A table's folders are plain Parquet, so spark.readStream can follow one.
+"""
