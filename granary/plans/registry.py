@@ -6,8 +6,6 @@ stand in for its tables.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +16,7 @@ from granary.functions import convert, types
 from granary.functions.types import Column
 from granary.operators import constraints, dml, nested, relations, scan
 from granary.operators.relations import Relationship
-from granary.operators.staging import staged
+from granary.operators.staging import shared_folder, staged
 from granary.sources.database import Database
 from granary.sources.links import Link, LinkPolicy
 
@@ -157,8 +155,7 @@ def database_stats(spark, sf_dir):
 
 def attached(spark, sf_dir, *names: str) -> Database:
     """A new database that has the test tables as external ones."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='granary-')}"
-    db = Database.create(spark, f"{root}/db-{uuid.uuid4().hex}")
+    db = Database.create(spark, shared_folder(spark, "db"))
     with db.begin():
         for n in names:
             db.register(n, f"{sf_dir}/{n}.parquet")
