@@ -1,51 +1,20 @@
-"""Shared pieces: staging in the cluster's shared folder and text normalisation."""
+"""Shared pieces: staging in the cluster's shared folder, from the library itself, and text normalisation."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.operators.staging import forget, shared_folder, staged
+
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "ascii_lower", "forget", "shared_folder", "staged"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: bytes.translate table that lower-cases A-Z only.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which every executor can reach.
-
-    Only where the session names no such folder (tests, notebooks) is a
-    temporary one set, so a cluster never falls back to a machine-local disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get()
-    return f"{root.rstrip('/')}/granary-{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs only its own tasks."""
-    path = shared_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a staged DataFrame that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/granary-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. All-ASCII texts take the fast built-in; the result is the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
