@@ -32,6 +32,8 @@ LANES = 4096
 SHORTEST = 64
 TOTAL = 1 << 24
 FLOOR = 16  # least order-0 frequency, of TOTAL: with at least an eighth of the mixture, no id's share rounds to nothing
+SLOT_BITS = 6
+SLOT = 1 << SLOT_BITS
 LOW_BITS, DIGIT = 32, 16
 MOST_IDS = 1 << 19
 CONTEXTS = 1 << 18
@@ -39,14 +41,14 @@ HEAD = struct.Struct("<4sIII")
 
 
 class Mixer:
-    """The model of one block."""
+    """The model of one block. A remembered entry is an id and, in its last three bits, how often it was right in a row."""
 
-    def __init__(self, alphabet: int, lanes: int):
+    def __init__(self, alphabet: int, lanes: int, inverse: bool = False):
+        self.inverse = inverse  # whether find() will be asked
         self.n, self.counts, self.unread = alphabet, np.zeros(alphabet, np.int64), []
         self.last = np.full(lanes, alphabet, np.int64)  # the id before; alphabet stands for none
-        self.before = np.full(lanes, alphabet, np.int64)
-        self.next1, self.sure1 = np.zeros(alphabet + 1, np.int64), np.zeros(alphabet + 1, np.int64)
-        self.next2, self.sure2 = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
+        self.before = self.last
+        self.table1, self.table2 = np.zeros(alphabet + 1, np.int64), np.zeros(CONTEXTS, np.int64)
         self.right = np.zeros((128, 3))
         self.right[:] = (0.2, 0.2, 1.0)
         self.step, self.refresh = 0, 1
@@ -54,7 +56,7 @@ class Mixer:
         self.look()
 
     def rebuild(self) -> None:
-        """Order-0 cumulative frequencies; every id keeps at least FLOOR."""
+        """Order-0 cumulative frequencies, where every id keeps at least FLOOR, and the shares of each case."""
         if self.unread:
             self.counts += np.bincount(np.concatenate(self.unread), minlength=self.n)
             self.unread = []
@@ -63,51 +65,55 @@ class Mixer:
         freq = FLOOR + np.floor((self.counts + 0.02) * spread).astype(np.int64)
         freq[int(freq.argmax())] += TOTAL - int(freq.sum())
         self.cum = np.concatenate([[0], np.cumsum(freq)])
+        if self.inverse:  # the id at every SLOT-th place; FLOOR bounds how many more begin before the next
+            self.slots = np.cumsum(np.bincount(-(-self.cum[1:-1] // SLOT), minlength=TOTAL // SLOT))
 
     def look(self) -> None:
         """Predictions and shares for the next step."""
         self.at2 = (self.before * 0x9E3779B1 + self.last * 0x85EBCA6B >> 7) & (CONTEXTS - 1)
-        self.p1, self.p2 = self.next1[self.last], self.next2[self.at2]
-        self.case = self.sure2[self.at2] * 16 + self.sure1[self.last] * 2 + (self.p1 == self.p2)
-        share = self.right / self.right.sum(1, keepdims=True)
-        w2 = (share[:, 0] * (TOTAL * 7 >> 3)).astype(np.int64) + 1
-        w1 = (share[:, 1] * (TOTAL * 7 >> 3)).astype(np.int64) + 1
-        self.w1, self.w2 = w1[self.case], w2[self.case]
+        self.entry1, self.entry2 = self.table1[self.last], self.table2[self.at2]
+        self.p1, self.p2 = self.entry1 >> 3, self.entry2 >> 3
+        self.case = (self.entry2 & 7) * 16 + (self.entry1 & 7) * 2 + (self.p1 == self.p2)
+        share = self.right[:, :2] / self.right.sum(1, keepdims=True)
+        weights = (share * (TOTAL * 7 >> 3)).astype(np.int64) + 1
+        self.w1, self.w2 = weights[:, 1][self.case], weights[:, 0][self.case]
         self.w0 = TOTAL - self.w1 - self.w2
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = (self.cum[ids] * self.w0 >> 24) + self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)
-        width = (self.cum[ids + 1] * self.w0 >> 24) - (self.cum[ids] * self.w0 >> 24) + self.w1 * (self.p1 == ids) + self.w2 * (self.p2 == ids)
+        """Where the ids' intervals begin, and how wide they are."""
+        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
+        low, high = self.cum[ids] * self.w0 >> 24, self.cum[ids + 1] * self.w0 >> 24
+        width = high - low + self.w1 * self.hit1 + self.w2 * self.hit2
+        low += self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)
         return low, width
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the targets."""
         swap = self.p1 > self.p2
         a, b = np.where(swap, self.p2, self.p1), np.where(swap, self.p1, self.p2)
-        wa, wb = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
-        at_a = self.cum[a] * self.w0 >> 24
-        end_a = (self.cum[a + 1] * self.w0 >> 24) + wa
-        at_b = (self.cum[b] * self.w0 >> 24) + wa
-        end_b = (self.cum[b + 1] * self.w0 >> 24) + wa + wb
-        both = a == b
-        end_a = np.where(both, end_b, end_a)
-        on_a, on_b = (target >= at_a) & (target < end_a), ~both & (target >= at_b) & (target < end_b)
-        past = np.where(target >= end_a, wa, 0) + np.where(target >= end_b, wb, 0)
-        rest = target - past
-        ids = np.searchsorted(self.cum, ((rest + 1) * TOTAL - 1) // self.w0, side="right") - 1
-        return np.where(on_a, a, np.where(on_b, b, ids))
+        wa = np.where(swap, self.w2, self.w1)
+        both = self.w1 + self.w2
+        end_a = (self.cum[a + 1] * self.w0 >> 24) + np.where(a == b, both, wa)
+        end_b = (self.cum[b + 1] * self.w0 >> 24) + both
+        rest = target - np.where(target >= end_b, both, np.where(target >= end_a, wa, 0))
+        place = np.minimum(((rest + 1 << 24) - 1).view(np.uint64) // self.w0.view(np.uint64), TOTAL - 1).view(np.int64)
+        ids = self.slots[place >> SLOT_BITS]
+        at = np.flatnonzero(place >= self.cum[ids + 1])
+        while len(at):
+            ids[at] += 1
+            at = at[place[at] >= self.cum[ids[at] + 1]]
+        ids = np.where((target < end_a) & (ids > a), a, ids)
+        return np.where((target >= end_a) & (target < end_b) & (ids > b), b, ids)
 
     def learn(self, ids: np.ndarray) -> None:
-        hit1, hit2 = self.p1 == ids, self.p2 == ids
-        outcome = self.case * 3 + np.where(hit2, 0, 2 - hit1)
+        """Takes the ids whose intervals were asked last."""
+        outcome = self.case * 3 + np.where(self.hit2, 0, 2 - self.hit1)
         self.right += np.bincount(outcome, minlength=self.right.size).reshape(self.right.shape)
         self.right[self.right.sum(1) > 50_000] *= 0.5
-        s1 = self.sure1[self.last]
-        self.sure1[self.last] = np.where(hit1, np.minimum(s1 + 1, 7), s1 >> 1)
-        self.next1[self.last[~hit1]] = ids[~hit1]
-        s2 = self.sure2[self.at2]
-        self.sure2[self.at2] = np.where(hit2, np.minimum(s2 + 1, 7), s2 >> 1)
-        self.next2[self.at2[~hit2]] = ids[~hit2]
+        new = ids << 3
+        for table, at, entry, hit in ((self.table1, self.last, self.entry1, self.hit1), (self.table2, self.at2, self.entry2, self.hit2)):
+            sure = entry & 7
+            table[at] = np.where(hit, entry + (sure < 7), new + (sure >> 1))
         self.unread.append(ids)
         self.before, self.last = self.last, ids
         self.step += 1
@@ -135,7 +141,7 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     lanes, length = lanes_of(n)
     grid = np.zeros(lanes * length, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, length).T
+    grid = np.ascontiguousarray(grid.reshape(lanes, length).T)
     mixer = Mixer(alphabet, lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << LOW_BITS + DIGIT, np.uint64)
     digits, filled = np.zeros((lanes, length * 2 + 8), np.uint32), np.zeros(lanes, np.int64)
@@ -208,7 +214,7 @@ def decode(block: bytes) -> np.ndarray:
     code = np.zeros(lanes, np.uint64)  # what is left of the number above low
     for _ in range(3):
         code = (code << np.uint64(DIGIT)) | digit(rows)
-    mixer, size = Mixer(alphabet, lanes), np.full(lanes, 1 << LOW_BITS + DIGIT, np.uint64)
+    mixer, size = Mixer(alphabet, lanes, inverse=True), np.full(lanes, 1 << LOW_BITS + DIGIT, np.uint64)
     grid = np.zeros((length, lanes), np.int64)
     for step in range(length):
         unit = size >> np.uint64(24)

@@ -28,6 +28,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +43,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MAGIC, HEAD = b"GTS1", struct.Struct("<4sII")
 SEGMENT = token_codec.BLOCK
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 #: Characters for which splitting and lower-casing here and in the library agree: printable ASCII, tab, line breaks and Latin-1 letters.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The vocabulary's pre-tokenizer, as its file states it (a fixed value), and what it comes to after lower-casing PLAIN text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
+#: Latin-1 bytes of PLAIN, lower-cased text: ! for each character that is neither a letter, a digit nor white space.
+SYMBOLS = bytes(32 if b in b" \t\n\r" else 97 if chr(b).isalpha() or chr(b).isdigit() else 33 for b in range(256))
+
 
 def byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one from 256."""
@@ -75,26 +79,29 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
+        """Forget everything. Words between white space and pre-tokens share one table: each has a place in the pool of ids."""
         encoder = self
 
         class Known(dict):
             def __missing__(self, word: str) -> int:
-                return encoder.take(word, [t.id for t in encoder.model.tokenize("".join(map(encoder.letters.__getitem__, word.encode())))])
+                pieces = PIECES.findall(word)
+                if len(pieces) == 1:
+                    ids = [t.id for t in encoder.model.tokenize(word if word.isascii() else "".join(map(encoder.letters.__getitem__, word.encode())))]
+                else:
+                    ids = []
+                    for at in map(self.__getitem__, pieces):
+                        ids += encoder.pool[encoder.start[at] : encoder.start[at] + encoder.length[at]]
+                return encoder.take(word, ids)
 
         self.known = Known()
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.pool, self.start, self.length = array("i"), array("i"), array("i")
         self.take("", [self.end])
 
     def take(self, word: str, ids: list[int]) -> int:
-        at = len(self.known)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if at >= len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[at], self.length[at] = self.used, len(ids)
-        self.used += len(ids)
+        at = len(self.start)
+        self.start.append(len(self.pool))
+        self.length.append(len(ids))
+        self.pool.extend(ids)
         self.known[word] = at
         return at
 
@@ -109,20 +116,23 @@ class Encoder:
 
         def flush() -> None:
             if run:
-                pieces = [p for _, p in run]
-                at = np.fromiter((x for p in pieces for x in p), np.int64, sum(map(len, pieces)))
-                length = self.length[at]
-                ends = np.cumsum(length)
-                out.append(self.pool[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1])])
-                firsts = np.cumsum([0, *map(len, pieces)][:-1])
+                at = np.concatenate([places for _, places in run])
+                pool, start, lengths = (np.frombuffer(x, x.typecode) for x in (self.pool, self.start, self.length))
+                length = lengths[at]
+                ends = np.cumsum(length, dtype=np.int32)
+                out.append(pool[np.repeat(start[at] - ends + length, length) + np.arange(ends[-1], dtype=np.int32)])
+                firsts = np.cumsum([0, *(len(places) for _, places in run)][:-1])
                 counts[[k for k, _ in run]] = np.add.reduceat(length, firsts)
                 run.clear()
 
         for k, text in enumerate(texts):
             if self.plain(text):
-                pieces = list(map(self.known.__getitem__, PIECES.findall(text.lower())))
-                pieces.append(0)
-                run.append((k, pieces))
+                text = text.lower()
+                if b"!!" not in text.encode("latin-1").translate(SYMBOLS):  # then a comma or full stop is a pre-token by itself wherever it stands
+                    text = text.replace(",", " , ").replace(".", " . ")
+                words = text.split()
+                words.append("")
+                run.append((k, np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))))
             else:
                 flush()
                 ids = self.whole.encode(text, add_special_tokens=False).ids
