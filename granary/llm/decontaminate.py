@@ -54,7 +54,7 @@ def seed(k: int, mask: tuple[int, ...], i: Column) -> Column:
 
 def seeded(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     """A row (…, i, key) for each word and mask."""
-    at = rows.filter("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    at = rows.select("*", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))).alias("i"))  # a filter would be pushed below the hashing and repeat it
     return at.select("*", F.explode(F.array(*[seed(k, m, F.col("i")) for k, m in enumerate(masks)])).alias("key")).filter("key is not null")
 
 
@@ -69,6 +69,11 @@ def best_window(same: Column, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(same) - 1), zero, step, lambda s: s["top"])
 
 
+def once(x: Column) -> Column:
+    """x as the only element of an exploded array: later filters stay above it, so x is evaluated once."""
+    return F.explode(F.array(x))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, masks: tuple[tuple[int, ...], ...] = MASKS,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -100,11 +105,11 @@ def leaks(
         length = F.least("m", F.col("n") - F.col("i") + F.col("j")) - first
         ours = F.slice("h", F.greatest(F.col("i") - F.col("j"), F.lit(0)) + 1, length)
         aligned = hits.filter(length >= F.least(F.lit(window), F.col("m"))).select("id", "tag", "ik", "item", "m", ours.alias("a"), F.slice("g", first + 1, length).alias("b"))
-        same = aligned.select("id", "tag", "ik", "item", "m", F.zip_with("a", "b", lambda x, y: (x == y).cast("int")).alias("same"))
-        scored = same.select(
-            "id", "tag", "ik", "item", "m", F.aggregate("same", F.lit(0), lambda s, x: s + x).alias("matched"),
-            F.when(F.col("m") >= window, best_window(F.col("same"), window)).otherwise(F.aggregate("same", F.lit(0), lambda s, x: s + x)).alias("overlap"),
-        )
+        equal = F.zip_with("a", "b", lambda x, y: (x == y).cast("int"))
+        same = aligned.select("id", "tag", "ik", "item", "m", once(equal).alias("same"))
+        total = F.aggregate("same", F.lit(0), lambda s, x: s + x)
+        overlap = F.when(F.col("m") >= window, best_window(F.col("same"), window)).otherwise(total)
+        scored = same.select("id", "tag", "ik", "item", "m", once(F.struct(total.alias("matched"), overlap.alias("overlap"))).alias("found")).select("id", "tag", "ik", "item", "m", "found.*")
         close = scored.filter(F.col("overlap") >= F.when(F.col("m") >= window, need).otherwise(F.col("m")))
         rows = close.groupBy("id", "tag", "ik").agg(F.first("item").alias("item"), F.first("m").alias("item_words"), F.max("overlap").alias("overlap"), F.max("matched").alias("matched"))
         found = rows if found is None else found.union(rows)
