@@ -27,7 +27,7 @@ from granary.sources.links import Link, LinkPolicy, odbc_connection
 from granary.sources.storage import Storage
 
 MAX_KEY_COLUMNS = 10
-FORMATS = ("jet3", "jet4", "ace")
+FORMATS = ("v3", "v4", "v5")
 IDENTITY = ["__file", "__row"]
 SYSTEM = ("sysobjects", "syscolumns", "sysindexes", "sysrelationships", "syscomplexcolumns")
 
@@ -63,7 +63,7 @@ class Database:
         self.rules: dict[tuple[str, str], Any] = {}
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, fmt: str = "ace", **options) -> Database:
+    def create(cls, spark: SparkSession, path: str, fmt: str = "v5", **options) -> Database:
         if fmt not in FORMATS:
             raise StoreError(f"unknown format {fmt}")
         storage = Storage(spark, path)
