@@ -43,7 +43,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MAGIC, HEAD = b"GTS1", struct.Struct("<4sII")
 SEGMENT = token_codec.BLOCK
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Characters for which splitting and lower-casing here and in the library agree: printable ASCII, tab, line breaks and Latin-1 letters.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The vocabulary's pre-tokenizer, as its file states it (a fixed value), and what it comes to after lower-casing PLAIN text.
