@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate, mixing, quality, queries, simhash
+from granary.llm import decontaminate, jaccard, mixing, quality, queries
 from granary.llm.common import staged
 
 
@@ -14,8 +14,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each group with 5-word-shingle Jaccard similarity of 0.8 or more stays: the one with the smallest id."""
+    return jaccard.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

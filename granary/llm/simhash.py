@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -255,7 +255,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, fp (signed), root (a fingerprint that names the component), component (smallest id reachable over links of at most k differing bits)."""
     prints = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
     reps = staged(prints.groupBy("fp").agg(F.min("id").alias("first")), "representatives")
-    roots = staged(components(links(reps, k)), "roots")
+    return classified(prints, reps, links(reps, k))
+
+
+def classified(prints: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """prints (id, fp) with root and component, from the representatives (fp, first) and the links (a, b) between them."""
+    roots = staged(components(pairs), "roots")
     linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "first", "root")
     named = linked.groupBy("root").agg(F.min("first").alias("component"))
     moved = linked.join(named, "root").select("fp", "root", "component")
@@ -265,21 +270,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, width: int = 3) -> DataFrame:
     """The rows of docs that stay: of each component the row with the smallest id. Of rows of one component that repeat that id, one stays; a component of null ids only keeps one row."""
-    marks = near_duplicates(docs, id_col, text_col, k, width)
+    return kept(docs, near_duplicates(docs, id_col, text_col, k, width), lambda text: np.uint64(fingerprint(text, width)).view(np.int64), id_col, text_col)
+
+
+def kept(docs: DataFrame, marks: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay by marks (id, fp, root, component); print_of gives a text's fp."""
     first = staged(marks.filter(F.col("id").eqNullSafe(F.col("component"))).select("id", "fp", "root"), "first")
     counted = first.groupBy("id").agg(F.count("*").alias("__rows")).withColumnRenamed("id", "__id")
     once, often = counted.filter("__rows = 1 and __id is not null"), counted.filter("__rows > 1 or __id is null")
     single = docs.join(once, docs[id_col] == once["__id"], "left_semi")
     several = docs.join(often, docs[id_col].eqNullSafe(often["__id"]), "left_semi")
-    return single.unionByName(one_of_each(several, first, id_col, text_col, width))
+    return single.unionByName(one_of_each(several, first, id_col, text_col, print_of))
 
 
-def one_of_each(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def one_of_each(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, print_of: Callable[[str | None], int]) -> DataFrame:
     """One row of each component, for the few ids that repeat: the one with the least hash over its columns."""
 
     @F.pandas_udf(T.LongType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
+        return pd.Series(np.fromiter(map(print_of, texts), np.int64, len(texts)))
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(id_col).alias("__id"), of(F.col(text_col)).alias("__fp"), row.alias("__row"))
