@@ -2,7 +2,8 @@
 
 Templates (short phrases and longer notices) are kept as postings: token ->
 (template, offset). The document frequency of every template token is counted
-over the whole corpus; each template is anchored at its rarest token. A
+over the whole corpus; a phrase is anchored at its rarest token, a notice at so
+many of its rarest ones that no place with enough words lacks them all. A
 document's words are looked up in the set of anchors; each anchor found at
 position p proposes that the template starts at p - offset, and the other
 postings are intersected at the same relative position. A phrase matches where
@@ -19,6 +20,7 @@ table gives an empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -76,8 +78,14 @@ def rarity(docs: DataFrame, templates: tuple[Template, ...], text_col: str = "te
 
 def anchor(template: Template, df: dict[str, int]) -> int:
     """Offset of the word with the highest inverse document frequency; of equals the longest, then the first."""
+    return anchors_of(template, df, 1.0)[0]
+
+
+def anchors_of(template: Template, df: dict[str, int], coverage: float) -> list[int]:
+    """Offsets of the rarest words, as many as needed: of n words with at least ``coverage`` standing, one of any n - ceil(coverage * n) + 1 does."""
     at = template.words
-    return min(range(len(at)), key=lambda i: (df.get(at[i], 0), -len(at[i]), i))
+    need = len(at) if template.base else min(len(at), max(1, math.ceil(coverage * len(at))))
+    return sorted(range(len(at)), key=lambda i: (df.get(at[i], 0), -len(at[i]), i))[: len(at) - need + 1]
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, df: dict[str, int] | None = None, coverage: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +93,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, df:
     if len(templates) > MAX_TEMPLATES or any(not 1 <= len(t.words) <= MAX_WORDS for t in templates):
         raise ValueError(f"at most {MAX_TEMPLATES} templates of 1 to {MAX_WORDS} words")
     df = rarity(docs, templates, text_col) if df is None else df
-    anchors = sorted({t.words[anchor(t, df)] for t in templates})
+    anchors = sorted({t.words[at] for t in templates for at in anchors_of(t, df, coverage)})
     found = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w").cast("bigint"))
     rare = F.filter(F.transform("w", lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
     found = found.withColumn("rare", rare)
@@ -94,9 +102,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, df:
     def agreed(t: Template, start: Column) -> Column:
         return sum((F.coalesce(word(start + k) == x, F.lit(False)).cast("int") for k, x in enumerate(t.words)), F.lit(0))
 
+    def by_word(x: str, at: int) -> Column:
+        return F.transform(F.filter("rare", lambda p: word(p) == x), lambda p: p - at)
+
     def starts(t: Template) -> Column:
-        at = anchor(t, df)
-        proposed = F.transform(F.filter("rare", lambda p: word(p) == t.words[at]), lambda p: p - at)
+        proposed = F.array_distinct(F.concat(*[by_word(t.words[at], at) for at in anchors_of(t, df, coverage)]))
         if t.base:
             return F.filter(proposed, lambda s: (s >= 0) & (agreed(t, s) == len(t.words)))
         key = [w for w in re.split(BETWEEN, t.key.lower()) if w]

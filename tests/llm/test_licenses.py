@@ -49,3 +49,23 @@ def test_repeats_nulls_empty_and_bounds(spark):
     assert L.scan(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         L.scan(docs, L.BASE * 100)
+
+
+def test_notices_without_their_rarest_word(spark):
+    rng = random.Random(8)
+    texts = ["Code is subject to the terms of the Mozilla Public License, version 2.0 here.", "mit license"]
+    for t in L.NOTICES:
+        for _ in range(12):
+            texts.append("x " * rng.randint(0, 3) + " ".join(w if rng.random() > 0.2 else "zz" for w in t.words) + " y" * rng.randint(0, 3))
+    want = []
+    for text in texts:
+        w, own = [x for x in re.split(L.BETWEEN, text.lower()) if x], set()
+        for t in L.NOTICES:
+            for s in range(1 - len(t.words), len(w)):
+                same = sum(0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(t.words))
+                if same >= 0.75 * len(t.words) and f" {t.key} " in " " + " ".join(w[max(s, 0) : s + len(t.words)]) + " ":
+                    own.add(t.label)
+        want.append(",".join(sorted(own)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in L.scan(docs, L.NOTICES).orderBy("id").collect()] == want
+    assert want[0] == "mpl-2.0"
