@@ -265,6 +265,14 @@ def index_order_asc_desc(spark, sf_dir):
     return top.select("c_custkey", place.cast("long").alias("place"))
 
 
+@query("select c_custkey, row_number() over (order by nullif(c_nationkey, 3) nulls first, c_acctbal desc nulls last, c_custkey)::bigint as place from customer")
+def index_order_whole(spark, sf_dir):
+    """The place of every row in that index; ranges are counted, so no window spans the table."""
+    df = Tables(spark, sf_dir).customer.select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("k"), "c_acctbal", F.lit(None).cast("long").alias("place"))
+    order = [F.asc_nulls_first("k"), F.desc_nulls_last("c_acctbal"), F.asc("c_custkey")]
+    return constraints.numbered(df, "place", 0, order).select("c_custkey", "place")
+
+
 @query("select o_orderkey, o_custkey from orders where o_orderkey = 77")
 def key_lookup(spark, sf_dir):
     return Tables(spark, sf_dir).orders.filter(F.col("o_orderkey") == 77).select("o_orderkey", "o_custkey")
