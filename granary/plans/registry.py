@@ -316,6 +316,13 @@ def batch_self_reference(spark, sf_dir):
     return relations.orphans_in_order(batch, ("up",), stored, ("c_custkey",), "c_custkey").select("c_custkey")
 
 
+@query("select c_custkey from customer where c_custkey % 3 <> 0 and not exists (select 1 from customer e where e.c_custkey = customer.c_custkey + 1 and e.c_custkey < customer.c_custkey)")
+def batch_self_reference_whole(spark, sf_dir):
+    """The same with every customer in the batch."""
+    batch = Tables(spark, sf_dir).customer.select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") + 1).alias("up"))
+    return relations.orphans_in_order(batch, ("up",), batch.filter("false"), ("c_custkey",), "c_custkey").select("c_custkey")
+
+
 @query("select a.n_nationkey as a_key, b.n_nationkey as b_key from nation a join nation b on upper(a.n_name) = upper(b.n_name)")
 def ci_key_join(spark, sf_dir):
     n = Tables(spark, sf_dir).nation
@@ -359,6 +366,15 @@ def restrict_dependents(spark, sf_dir):
     return held.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("dependents"))
 
 
+@query("select c_custkey, count(*) as dependents from customer join orders on c_custkey = o_custkey where c_mktsegment = 'BUILDING' group by c_custkey")
+def restrict_dependents_segment(spark, sf_dir):
+    """The same for a share of the customers that grows with the table."""
+    t = Tables(spark, sf_dir)
+    doomed = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    held = relations.matching(t.orders.select("o_custkey"), ("o_custkey",), doomed, ("c_custkey",), "left_semi")
+    return held.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("dependents"))
+
+
 @query("select 'co' as name, 0 as icolumn, 'orders' as child, 'customer' as parent, 'o_custkey=c_custkey' as pairs union all select 'ol', 0, 'lineitem', 'orders', 'l_orderkey=o_orderkey'")
 def relationship_rows(spark, sf_dir):
     """Relationships gathered from their catalog rows in order of column."""
