@@ -9,8 +9,11 @@ place in a document, and the alignment is verified word by word around the hit.
 A document leaks an item if WINDOW consecutive words of the item stand against
 WINDOW consecutive words of the document with at least ``similarity`` of them
 equal. The default masks hit every such window (``covers`` proves it), so
-nothing is missed. Items of MIN_WORDS to WINDOW - 1 words must stand whole;
-shorter ones can't be told from ordinary text and match nothing.
+nothing is missed. Items of MIN_WORDS to WINDOW - 1 words must stand whole, with
+at least ``short`` of their words equal: cut into one piece more than words may
+differ, some piece stands unchanged. Shorter items can't be told from ordinary
+text inside one; with ``short`` below 1 they match where they are the whole
+document, and with 1 nothing.
 
 Only the benchmark is broadcast, in blocks of about BLOCK_WORDS words; the
 documents are never shuffled before verification. Words are runs of letters,
@@ -74,28 +77,37 @@ def once(x: Column) -> Column:
     return F.explode(F.array(x))
 
 
+def pieces(n: int, differing: int) -> list[tuple[int, int]]:
+    """(start, length) of differing + 1 pieces of n words: with so many words changed, one piece isn't."""
+    cuts = [n * k // (differing + 1) for k in range(differing + 2)]
+    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, masks: tuple[tuple[int, ...], ...] = MASKS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", short: float = 1.0,
 ) -> DataFrame:
     """(id, tag, item, item_words, overlap, matched): a row for each leaking document (id, tag: hash of its text) and item. overlap: equal words of the best window; matched: of the best alignment."""
     need = math.ceil(similarity * window - 1e-9)
     if not covers(masks, window, window - need):
         raise ValueError("the masks don't hit every window that is similar enough")
-    items = benchmark.select(F.col(item_col).alias("item"), hashes(F.col(item_text)).alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= MIN_WORDS).distinct()
+    items = benchmark.select(F.col(item_col).alias("item"), hashes(F.col(item_text)).alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= (MIN_WORDS if short >= 1 else 1)).distinct()
     items = items.withColumn("ik", F.xxhash64("item", "h"))
     sizes = items.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()
     blocks = max(1, math.ceil(sum(r["n"] * r["c"] for r in sizes) / BLOCK_WORDS))
-    whole = {r["n"]: len(masks) + k for k, r in enumerate(r for r in sizes if r["n"] < window)}
-    every = [*masks, *(tuple(range(n)) for n in whole)]
+    least = {r["n"]: math.ceil(short * r["n"] - 1e-9) if r["n"] >= MIN_WORDS else r["n"] for r in sizes if r["n"] < window}
+    cut = {n: pieces(n, n - equal) for n, equal in least.items()}
+    whole = {length: len(masks) + k for k, length in enumerate(sorted({length for held in cut.values() for _, length in held}))}
+    every = [*masks, *(tuple(range(length)) for length in whole)]
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tag"), hashes(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod("ik", F.lit(blocks)) == block)
         long = seeded(part.filter(F.col("n") >= window), list(masks)).select("key", "ik", F.col("i").alias("j"))
         short = [
-            part.filter(F.col("n") == n).filter(F.size("h") == n).select(seed(k, every[k], F.lit(0)).alias("key"), "ik", F.lit(0).alias("j")) for n, k in whole.items()
-        ]
+            part.filter(F.col("n") == n).filter(F.size("h") == n).select(seed(whole[length], every[whole[length]], F.lit(at)).alias("key"), "ik", F.lit(at).alias("j"))
+            for n, held in cut.items() for at, length in held
+        ]
         index = long
         for s in short:
             index = index.union(s)
@@ -104,20 +116,24 @@ def leaks(
         first = F.greatest(F.col("j") - F.col("i"), F.lit(0))  # of the item's words, the first that has a word of the document beside it
         length = F.least("m", F.col("n") - F.col("i") + F.col("j")) - first
         ours = F.slice("h", F.greatest(F.col("i") - F.col("j"), F.lit(0)) + 1, length)
-        aligned = hits.filter(length >= F.least(F.lit(window), F.col("m"))).select("id", "tag", "ik", "item", "m", ours.alias("a"), F.slice("g", first + 1, length).alias("b"))
+        tiny = (F.col("m") >= MIN_WORDS) | (F.col("m") == F.col("n"))
+        aligned = hits.filter(tiny & (length >= F.least(F.lit(window), F.col("m")))).select("id", "tag", "ik", "item", "m", ours.alias("a"), F.slice("g", first + 1, length).alias("b"))
         equal = F.zip_with("a", "b", lambda x, y: (x == y).cast("int"))
         same = aligned.select("id", "tag", "ik", "item", "m", once(equal).alias("same"))
         total = F.aggregate("same", F.lit(0), lambda s, x: s + x)
         overlap = F.when(F.col("m") >= window, best_window(F.col("same"), window)).otherwise(total)
         scored = same.select("id", "tag", "ik", "item", "m", once(F.struct(total.alias("matched"), overlap.alias("overlap"))).alias("found")).select("id", "tag", "ik", "item", "m", "found.*")
-        close = scored.filter(F.col("overlap") >= F.when(F.col("m") >= window, need).otherwise(F.col("m")))
+        enough = F.lit(need)
+        for n, equal in least.items():
+            enough = F.when(F.col("m") == n, equal).otherwise(enough)
+        close = scored.filter(F.col("overlap") >= enough)
         rows = close.groupBy("id", "tag", "ik").agg(F.first("item").alias("item"), F.first("m").alias("item_words"), F.max("overlap").alias("overlap"), F.max("matched").alias("matched"))
         found = rows if found is None else found.union(rows)
     return found.select("id", "tag", "item", "item_words", "overlap", "matched")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: float = 1.0) -> DataFrame:
     """The rows of docs that leak no item, all columns as they were."""
-    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, short=short).select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
     met = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__tag"))
     return docs.join(bad, met, "left_anti")

@@ -73,3 +73,28 @@ def test_repeats_nulls_and_empty(spark):
     assert D.leaks(docs, bench.limit(0)).count() == 0
     with pytest.raises(ValueError):
         D.leaks(docs, bench, similarity=0.5)
+
+
+def test_short_items_with_changed_words(spark):
+    rng, items, docs = random.Random(9), [], []
+    for n in range(1, 13):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for changed in range(4):
+            for _ in range(6):
+                piece = list(item)
+                for at in rng.sample(range(n), min(n, changed)):
+                    piece[at] = "zz"
+                around = ["a b c"] * rng.randint(0, 1)
+                docs.append((len(docs), " ".join([*around, *piece, *around])))
+    want = set()
+    for d, text in docs:
+        a = text.split()
+        for n, item in items:
+            b = item.split()
+            best = max((sum(x == y for x, y in zip(a[i : i + n], b, strict=True)) for i in range(len(a) - n + 1)), default=0)
+            if a == b if n < D.MIN_WORDS else best >= math.ceil(D.SIMILARITY * n - 1e-9):
+                want.add((d, n, best))
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item, r.overlap) for r in D.leaks(rows, bench, short=D.SIMILARITY).collect()} == want
+    assert {r.doc_id for r in D.keep_clean(rows, bench, short=D.SIMILARITY).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
