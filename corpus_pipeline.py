@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, jaccard, mixing, quality, queries
 from granary.llm.common import staged
@@ -25,7 +26,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document may come several times or not at all."""
-    return mixing.mix(docs, queries.WEIGHTS, default_weight=1.0).select(*docs.columns)
+    own = {c: f"__in{k}" for k, c in enumerate(docs.columns)}  # columns named like those that mix() adds stay as they are
+    drawn = mixing.mix(docs.toDF(*own.values()), queries.WEIGHTS, default_weight=1.0, id_col=own["doc_id"], text_col=own["text"], source_col=own["source"])
+    return drawn.select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def test_odd_rows(spark):
     assert mixing.mix(docs.limit(0), {}, 1.0).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs.selectExpr("*", "1 as Copy"), {}, 1.0)
+
+
+def test_stage_keeps_columns_named_like_its_own(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "x" * (1 + i % 7), f"src{i % 4}") for i in range(200)], "doc_id long, text string, source string")
+    clash = docs.selectExpr("*", "doc_id * 2 as Copy", "'k' as shuffle_key")
+    got = corpus_pipeline.mixed(spark, clash, "")
+    assert got.columns == clash.columns
+    rows, want = got.collect(), corpus_pipeline.mixed(spark, docs, "").collect()
+    assert sorted(tuple(r)[:3] for r in rows) == sorted(map(tuple, want)) and all(r.Copy == 2 * r.doc_id and r.shuffle_key == "k" for r in rows)
