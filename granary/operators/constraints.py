@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.errors import ConstraintError
 from granary.functions import convert, types
 from granary.operators.staging import staged
 
+#: Kinds of keys that have a range which Parquet's statistics know.
+RANGED = (T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.TimestampNTZType)
+
 
 def coerced(df: DataFrame, columns: list[types.Column]) -> DataFrame:
     """df with exactly the columns, by case-insensitive name: missing ones null, each cast (overflow raises), unsigned bytes checked, text and binary clipped, a null yes/no false."""
@@ -83,6 +87,17 @@ def duplicates(df: DataFrame, names: list[str]) -> DataFrame:
     return df.groupBy(*[k.alias(n) for k, n in zip(key(df, names), names, strict=True)]).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
+def in_range(stored: DataFrame, stored_names, rows: DataFrame, names) -> DataFrame:
+    """Those stored rows whose key can be among rows' ones: within the range of their first key column, or null. The range reaches the scan, so where files are clustered by key few are read. Texts compare without case, so they have no range."""
+    a, b = next(c for c in stored.columns if c.lower() == stored_names[0].lower()), next(c for c in rows.columns if c.lower() == names[0].lower())
+    kind = stored.schema[a].dataType
+    if kind != rows.schema[b].dataType or not isinstance(kind, RANGED):
+        return stored
+    low, high, null = rows.agg(F.min(f"`{b}`"), F.max(f"`{b}`"), F.count_if(F.col(f"`{b}`").isNull())).first()
+    met = F.col(f"`{a}`").between(low, high) if low is not None else F.lit(False)
+    return stored.filter(met | F.col(f"`{a}`").isNull() if null else met)
+
+
 def check_unique(rows: DataFrame, existing: DataFrame | None, names: list[str], label: str) -> None:
     """Raises if rows repeat a key, or hold one that existing has."""
     if not duplicates(rows, names).isEmpty():

@@ -1,9 +1,11 @@
 """A database: a folder of Parquet snapshots under versioned manifests.
 
-A manifest names, for each table, the folders that hold its rows; a change
-writes new folders and then publishes the next manifest in one step, so readers
-see whole versions and a failed change leaves nothing behind. Inserts only add
-a folder. Updates and deletes rewrite only the folders with matching rows.
+A manifest names, for each table, the folders that hold its rows, and files of
+them that no longer count; a change writes new folders and then publishes the
+next manifest in one step, so readers see whole versions and a failed change
+leaves nothing behind. Inserts only add a folder. Updates and deletes rewrite
+only the files with matching rows; ``compact`` writes a table anew, in order of
+its primary key, and ``vacuum`` removes what no kept version names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from granary.sources.storage import Storage
 MAX_KEY_COLUMNS = 10
 FORMATS = ("v3", "v4", "v5")
 IDENTITY = ["__file", "__row"]
+#: Files that one change may take out of a folder one by one; beyond, the folder's other rows are rewritten too, so that a manifest stays small.
+FILES = 2000
 SYSTEM = ("sysobjects", "syscolumns", "sysindexes", "sysrelationships", "syscomplexcolumns")
 
 
@@ -110,7 +114,7 @@ class Database:
         cols = [dataclasses.replace(types.from_spark(f), primary=f.name.lower() in keys) for f in frame.schema.fields]
         with self.change() as m:
             self.free(m, name)
-            m["tables"][name.lower()] = {"name": name, "columns": [c.to_json() for c in cols], "indexes": key_index([], cols), "folders": [path], "rows": frame.count(), "high": {}, "external": True}
+            m["tables"][name.lower()] = {"name": name, "columns": [c.to_json() for c in cols], "indexes": key_index([], cols), "folders": [Storage(self.spark, path).root], "rows": frame.count(), "high": {}, "external": True}
 
     # Reading
 
@@ -129,13 +133,13 @@ class Database:
             if missing == "raise":
                 raise UnknownTable(f"no table {name}")
             return self.empty([])
-        return self.stored(entry).select(*[f"`{c.name}`" for c in self.columns(name)])
+        return self.stored(entry, place=False).select(*[f"`{c.name}`" for c in self.columns(name)])
 
     def empty(self, columns: list[Column]) -> DataFrame:
         return self.spark.createDataFrame([], types.schema(columns))
 
-    def stored(self, entry: dict, folders: list[str] | None = None) -> DataFrame:
-        """Rows of an entry, with their place. Columns that a folder was written without read as null."""
+    def stored(self, entry: dict, folders: list[str] | None = None, place: bool = True) -> DataFrame:
+        """Rows of an entry, by default with their place. Columns that a folder was written without read as null."""
         columns = [Column.from_json(c) for c in entry["columns"]]
         folders = entry["folders"] if folders is None else folders
         if not folders:
@@ -147,12 +151,20 @@ class Database:
         out = None
         for names, group in frames.items():
             kinds = T.StructType([T.StructField(n, c.spark) for n, c in zip(names, columns, strict=True)])
-            rows = self.spark.read.schema(kinds).parquet(*group)
-            place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-            rows = rows.select(*[F.col(f"`{n}`").alias(c.name) for n, c in zip(names, columns, strict=True)], *place)
+            rows = self.spark.read.schema(kinds).parquet(*map(self.storage.qualified, group))
+            gone = [uri for f in group for uri in self.gone(entry, f)]
+            if gone:  # Spark prunes whole files by this
+                rows = rows.filter(~F.col("_metadata.file_path").isin(gone))
+            where = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")] if place else []
+            rows = rows.select(*[F.col(f"`{n}`").alias(c.name) for n, c in zip(names, columns, strict=True)], *where)
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    def gone(self, entry: dict, folder: str) -> list[str]:
+        """The files of a folder that no longer count, as Spark names them."""
+        names = entry.get("without", {}).get(folder, [])
+        return [f"{self.storage.uri(folder)}/{n}" for n in names] if names else []
+
     def linked(self, link: Link) -> DataFrame:
         if link.kind == "odbc":
             raise StoreError(f"{link.name}: an ODBC link is a catalog row only; read it with spark.read.format('jdbc')")
@@ -237,9 +249,6 @@ class Database:
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.empty([])
 
-    def detect_encryption(self) -> str:
-        return "none"
-
     # Changing
 
     @contextmanager
@@ -277,9 +286,12 @@ class Database:
         """A new folder with the rows, and how many there are."""
         folder = self.storage.folder(entry["name"])
         self.wrote.add(folder)
+        path = self.storage.qualified(folder)
         names = [Column.from_json(c).name for c in entry["columns"]]
-        rows.select(*[f"`{n}`" for n in names]).write.parquet(folder)
-        return folder, self.spark.read.schema(types.schema([Column.from_json(c) for c in entry["columns"]])).parquet(folder).count()
+        rows = rows.select(*[f"`{n}`" for n in names])
+        key = [f"`{c}`" for i in entry["indexes"] if i["primary"] for c in i["columns"]]
+        (rows.sortWithinPartitions(*key) if key else rows).write.parquet(path)
+        return folder, self.spark.read.schema(types.schema([Column.from_json(c) for c in entry["columns"]])).parquet(path).count()
 
     @staticmethod
     def free(m: dict, name: str) -> None:
@@ -329,7 +341,9 @@ class Database:
             if any(gone.lower() in (c.lower() for c in r["child_columns"] if r["child"].lower() == name.lower()) or gone.lower() in (c.lower() for c in r["parent_columns"] if r["parent"].lower() == name.lower()) for r in self.state["relationships"]):
                 raise StoreError(f"a relationship uses {column}")
             entry["columns"] = [c for c in entry["columns"] if c["name"] != gone]
+            entry["high"].pop(gone, None)
             entry["indexes"] = [i for i in entry["indexes"] if gone.lower() not in (c.lower() for c in i["columns"])]
+        self.rules.pop((name.lower(), gone.lower()), None)
 
     def rename_column(self, name: str, old: str, new: str) -> None:
         """The rows aren't rewritten: the manifest keeps each folder's own names."""
@@ -342,12 +356,16 @@ class Database:
             before = entry.get("renames", {})
             entry["renames"] = {f: {(new if n == held else n): before.get(f, {}).get(n, n) for n in names} for f in entry["folders"]}
             entry["columns"] = [c | {"name": new} if c["name"] == held else c for c in entry["columns"]]
+            if held in entry["high"]:
+                entry["high"][new] = entry["high"].pop(held)
             swap = lambda cs: [new if c.lower() == held.lower() else c for c in cs]
             entry["indexes"] = [i | {"columns": swap(i["columns"]), "descending": swap(i["descending"])} for i in entry["indexes"]]
             for r in m["relationships"]:
                 for side in ("parent", "child"):
                     if r[side].lower() == name.lower():
                         r[f"{side}_columns"] = swap(r[f"{side}_columns"])
+        if (rule := self.rules.pop((name.lower(), held.lower()), None)) is not None:
+            self.rules[name.lower(), new.lower()] = rule
 
     def create_relationship(self, r: Relationship) -> None:
         r.checked()
@@ -408,13 +426,13 @@ class Database:
                 return 0
             for r in self.relationships():
                 if r.enforce and r.child.lower() == name.lower() and self.resolves(r):
-                    parent = self.table(r.parent)
+                    parent = constraints.in_range(self.table(r.parent), r.parent_columns, rows, r.child_columns)
                     bad = relations.orphans_in_order(rows, r.child_columns, parent, r.parent_columns, "__order") if r.parent.lower() == name.lower() else relations.orphans(rows, r.child_columns, parent, r.parent_columns)
                     if not bad.isEmpty():
                         raise ConstraintError(f"{r.name}: a row has no parent in {r.parent}")
             for i in self.indexes(name):
                 if i.unique or i.primary:
-                    constraints.check_unique(rows, self.table(name), list(i.columns), i.name)
+                    constraints.check_unique(rows, constraints.in_range(self.table(name), i.columns, rows, i.columns), list(i.columns), i.name)
             folder, n = self.write(entry, rows)
             entry["folders"].append(folder)
             entry["rows"] += n
@@ -467,6 +485,7 @@ class Database:
             constraints.check_rows(after, columns)
             rest = before.join(hit.select(*IDENTITY), IDENTITY, "left_anti")
             lowered = {c.lower() for c in changed}
+            moving = []
             for r in self.relationships():
                 if not r.enforce or not self.resolves(r):
                     continue
@@ -475,28 +494,46 @@ class Database:
                     if not relations.orphans(after, r.child_columns, parent, r.parent_columns).isEmpty():
                         raise ConstraintError(f"{r.name}: a row has no parent in {r.parent}")
                 if r.parent.lower() == name.lower() and lowered & {c.lower() for c in r.parent_columns}:
-                    self.move_children(r, hit, after)
-            for i in self.indexes(name):
-                if (i.unique or i.primary) and lowered & {c.lower() for c in i.columns}:
-                    constraints.check_unique(after, rest, list(i.columns), i.name)
+                    moving.append((r, self.moved_keys(r, hit, after)))
+            for r, moved in moving:
+                old, new = [f"__o{k}" for k in range(len(r.parent_columns))], [f"__w{k}" for k in range(len(r.parent_columns))]
+                own = r.child.lower() == name.lower()  # children among the same rows are rewritten together with them
+                child = rest.unionByName(after) if own else self.stored(self.entry(r.child))
+                found = constraints.staged(relations.matching(child, r.child_columns, moved, tuple(old), "left_semi"))
+                dependents = found.count()
+                if dependents and not r.cascade_updates:
+                    raise ConstraintError(f"{r.name}: {dependents} rows of {r.child} depend on the key")
+                if not dependents:
+                    continue
+                led = constraints.staged(relations.rekeyed(found, r.child_columns, moved, old, new))
+                changed_too = {c.lower() for c in r.child_columns}
+                if own:
+                    hit = constraints.staged(hit.unionByName(before.join(found.select(*IDENTITY), IDENTITY, "left_semi").join(hit.select(*IDENTITY), IDENTITY, "left_anti")))
+                    after = constraints.staged(after.join(found.select(*IDENTITY), IDENTITY, "left_anti").unionByName(led))
+                    rest = before.join(hit.select(*IDENTITY), IDENTITY, "left_anti")
+                    lowered |= changed_too
+                else:
+                    self.check_keys(r.child, led, child.join(found.select(*IDENTITY), IDENTITY, "left_anti"), changed_too)
+                    self.replace(r.child, found, led)
+            self.check_keys(name, after, rest, lowered)
             self.replace(name, hit, after)
             return count
 
-    def move_children(self, r: Relationship, hit: DataFrame, after: DataFrame) -> None:
-        """Children of rows whose key changes: refused, or moved one level."""
+    def check_keys(self, name: str, rows: DataFrame, rest: DataFrame, changed: set[str]) -> None:
+        """Unique keys of changed rows, where a changed column (lower case) is part of one."""
+        for i in self.indexes(name):
+            if (i.unique or i.primary) and changed & {c.lower() for c in i.columns}:
+                constraints.check_unique(rows, constraints.in_range(rest, i.columns, rows, i.columns), list(i.columns), i.name)
+
+    @staticmethod
+    def moved_keys(r: Relationship, hit: DataFrame, after: DataFrame) -> DataFrame:
+        """(__o0…, __w0…): the old and new keys of rows whose key changes, a row per old key."""
         pairs = hit.select(*IDENTITY, *[F.col(c).alias(f"__o{k}") for k, c in enumerate(r.parent_columns)]).join(after.select(*IDENTITY, *[F.col(c).alias(f"__w{k}") for k, c in enumerate(r.parent_columns)]), IDENTITY)
         same = F.lit(True)
         for k in range(len(r.parent_columns)):
             same = same & F.col(f"__o{k}").eqNullSafe(F.col(f"__w{k}"))
         n = range(len(r.parent_columns))
-        moved = constraints.staged(pairs.filter(~same).groupBy(*[f"__o{k}" for k in n]).agg(*[F.min(f"__w{k}").alias(f"__w{k}") for k in n]))
-        child = self.stored(self.entry(r.child))
-        found = constraints.staged(relations.matching(child, r.child_columns, moved, tuple(f"__o{k}" for k in n), "left_semi"))
-        count = found.count()
-        if count and not r.cascade_updates:
-            raise ConstraintError(f"{r.name}: {count} rows of {r.child} depend on the key")
-        if count:
-            self.replace(r.child, found, relations.rekeyed(found, r.child_columns, moved, [f"__o{k}" for k in n], [f"__w{k}" for k in n]))
+        return constraints.staged(pairs.filter(~same).groupBy(*[f"__o{k}" for k in n]).agg(*[F.min(f"__w{k}").alias(f"__w{k}") for k in n]))
 
     def delete(self, name: str, column: str, value: Any) -> int:
         """Rows where the column equals the value go, with their dependents or not at all. Returns how many matched."""
@@ -513,21 +550,72 @@ class Database:
             return count
 
     def replace(self, name: str, hit: DataFrame, after: DataFrame | None) -> None:
-        """Rewrite only the folders that hold rows of hit: without them, then with after's rows."""
+        """Rewrite only the files that hold rows of hit: without them, then with after's rows."""
         entry = self.entry(name)
-        files = {local(r[0]) for r in hit.select("__file").distinct().collect()}  # a row per touched file
-        old = [f for f in entry["folders"] if any(x == local(f) or x.startswith(local(f) + "/") for x in files)]
-        if not old:
+        touched = hit.groupBy("__file").agg(F.count("*").alias("n")).collect()  # a row per touched file
+        if not touched:
             return
-        before = self.stored(entry, old)
-        rows = before.join(hit.select(*IDENTITY), IDENTITY, "left_anti")
+        uris = {f: self.storage.uri(f) + "/" for f in entry["folders"]}
+        homes: dict[str, list[str]] = {}
+        for r in touched:
+            home = next((f for f, u in uris.items() if r["__file"].startswith(u)), None)
+            if home is None:
+                raise StoreError(f"{r['__file']} belongs to no folder of {name}")
+            homes.setdefault(home, []).append(r["__file"])
+        whole = [f for f, files in homes.items() if len(files) > FILES]
+        some = [x for f, files in homes.items() if f not in whole for x in files]
+        part = F.col("__file").isin(some) if some else F.lit(False)
+        for f in whole:
+            part = part | F.col("__file").startswith(uris[f])
+        rows = self.stored(entry, list(homes)).filter(part).join(hit.select(*IDENTITY), IDENTITY, "left_anti")
         if after is not None:
             rows = rows.unionByName(after.select(*rows.columns))
-        folder, n = self.write(entry, rows)
-        entry["rows"] += n - before.count()
-        entry["folders"] = [f for f in entry["folders"] if f not in old] + [folder]
+        folder, _ = self.write(entry, rows)
+        entry["rows"] += (0 if after is None else after.count()) - sum(r["n"] for r in touched)
+        without = entry.get("without", {})
+        for f, files in homes.items():
+            left = sorted({*without.get(f, []), *(x.removeprefix(uris[f]) for x in files)})
+            if f in whole or len(left) == len(self.spark.read.schema("x int").parquet(self.storage.qualified(f)).inputFiles()):
+                entry["folders"].remove(f)
+                without.pop(f, None)
+            else:
+                without[f] = left
+        entry["folders"].append(folder)
+        entry["without"] = without
         entry["renames"] = {f: r for f, r in entry.get("renames", {}).items() if f in entry["folders"]}
-        entry["external"] = False
+        entry["external"] = any(f in entry["folders"] and not f.startswith("data/") for f in entry["folders"])
+
+    def compact(self, name: str) -> None:
+        """Write a table anew: one folder without replaced files, clustered by the primary key, so that a lookup by key reads few files."""
+        with self.change():
+            entry = self.entry(name)
+            if not entry["folders"]:
+                return
+            key = [f"`{c}`" for i in entry["indexes"] if i["primary"] for c in i["columns"]]
+            rows = self.stored(entry)
+            folder, n = self.write(entry, rows.repartitionByRange(*key) if key else rows)
+            entry |= {"folders": [folder], "without": {}, "renames": {}, "rows": n, "external": False}
+
+    def lookup(self, name: str, **key: Any) -> DataFrame:
+        """Rows with these column values: equality on the stored columns, so files whose range lies elsewhere aren't read."""
+        rows, met = self.table(name), F.lit(True)
+        for c, value in key.items():
+            met = met & dml.equals(self.columns(name), c, value)
+        return rows.filter(met)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove manifests but for the last `keep`, then every folder of rows that none of these names. Returns how many folders went. Readers of older versions lose their files."""
+        if keep < 1 or self.draft is not None:
+            raise StoreError("vacuum keeps at least one version and needs no open transaction")
+        with self.storage.lock(self.lock_timeout, self.respect_lock):
+            versions = self.storage.versions()
+            held = {f for v in versions[-keep:] for t in self.storage.manifest(v)["tables"].values() for f in t["folders"]}
+            for v in versions[:-keep]:
+                self.storage.delete(f"manifest-{v}.json")
+            loose = [f"data/{n}" for n in self.storage.names("data") if f"data/{n}" not in held]
+            for folder in loose:
+                self.storage.delete(folder)
+        return len(loose)
 
     # Nested columns
 
@@ -566,11 +654,19 @@ class Transaction:
     def commit(self) -> None:
         self.end()
         draft, self.db.draft = self.db.draft, None
-        self.db.publish(draft)
+        try:
+            self.db.publish(draft)
+        except BaseException:
+            self.drop()
+            raise
 
     def rollback(self) -> None:
         self.end()
         self.db.draft = None
+        self.drop()
+
+    def drop(self) -> None:
+        """Remove what was written for the transaction."""
         for folder in self.db.pending:
             self.db.storage.delete(folder)
 
@@ -582,11 +678,6 @@ class Transaction:
             self.rollback() if kind else self.commit()
 
 
-def local(path: str) -> str:
-    """A path without the local scheme, so that both spellings compare equal."""
-    return path.removeprefix("file://").removeprefix("file:").rstrip("/")
-
-
 def key_index(indexes: list[dict], columns: list[Column]) -> list[dict]:
     keys = [c.name for c in columns if c.primary]
     return indexes + ([Index("PrimaryKey", tuple(keys), True, True).to_json()] if keys else [])

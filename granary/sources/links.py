@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from urllib.parse import urlparse
@@ -49,12 +50,17 @@ class LinkPolicy:
             full = "/".join(base + parts)
         if escapes and self.validator is None:
             raise StoreError(f"linked source {source} lies outside its host's folder")
-        if self.allowed and full.rstrip("/").lower() not in {a.rstrip("/").lower() for a in self.allowed}:
+        if self.allowed and spelled(full) not in map(spelled, self.allowed):
             raise StoreError(f"linked source {full} isn't on the allow-list")
         if self.validator is not None and not self.validator(full):
             raise StoreError(f"linked source {full} was refused")
         return full
 
 
+def spelled(path: str) -> str:
+    """A path for comparison: without case, closing slashes and the local scheme."""
+    return re.sub("^file:/*", "/", path.lower()).rstrip("/")
+
+
 def odbc_connection(text: str) -> str:
     return text if text.upper().startswith("ODBC;") else f"ODBC;{text}"
