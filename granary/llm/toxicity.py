@@ -1,28 +1,37 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from a bounded sample of labelled rows:
-one holds the commonest words of ordinary texts, the other also those of toxic
-texts (words whose document frequency there is out of the ordinary). Every word
-of a text, with its separators, is one window. A window's gain is what the
-toxic dictionary saves over the ordinary one, per byte. Words with a gain over
-a threshold count as hits; the threshold and the map from hits to a probability
-are calibrated on the sample.
+zstandard trains separate dictionaries on windows of ordinary and of toxic text
+(``zstandard.train_dictionary``), from a bounded sample of labelled rows. A
+window is WORDS consecutive words with the blanks around them; a text's windows
+start at each of its words.
+A window's gain is the bytes by which the toxic dictionary compresses it below
+the ordinary one. Documents are marked as wholes, so most windows of a toxic
+one are ordinary: training is repeated, the toxic dictionary on those windows of
+each toxic text with the highest gains so far, the ordinary one on ordinary
+windows and again on those of them with too high a gain.
+
+The sample is dealt to two halves that each train a pair of dictionaries, and a
+window counts with its smaller gain: what only one half happens to hold doesn't
+count, and no text is calibrated with dictionaries of its own alone. The
+map from the numbers of windows over several thresholds to a probability is
+calibrated on the sample.
 
 A constant tail follows each window, because zstandard searches no match in the
-last bytes of its input; both dictionaries hold it.
+last bytes of its input; all dictionaries end with it.
 
 Rows: null texts count as empty; a text without words scores like one without
-hits. Every row gets a row, repeated ones too. Without labelled rows of both
-classes every score is the share of label 1 (0 without any). An empty table
-gives an empty result. Only the id and text columns are read.
+windows over a threshold. Every row gets a row, repeated ones too. Without
+labelled rows of both classes, or with too few windows for zstandard to train
+on, every score is the share of label 1 (0 without any). An empty table gives
+an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,121 +43,165 @@ from pyspark.sql import types as T
 from granary.llm.common import ASCII_LOWER
 from granary.llm.labelled import fold, logistic, sample
 
-#: Bounds of the labelled sample: rows, and characters of a text that may be in it.
-ROWS, LONGEST = 5000, 20_000
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
-TAIL = b"0123456789abcdefghijklmnopqrstuvwxyz0123456789"
+#: Words of a window. Longer windows drown short insults: with 2 fewer toxic texts are found, at 2.5 times the time (figures in the README).
+WORDS = 1
+#: Bounds of the labelled sample: rows, words that stand for a text (a longer one by BLOCK-word runs spread evenly over it), and ordinary windows of a half.
+ROWS, SPREAD, BLOCK, ORDINARY = 5000, 2000, 50, 120_000
+#: Size of the ordinary dictionaries.
+ORDINARY_BYTES = 110_000
+#: Of each round, the share of a toxic text's windows that the next one takes and the toxic dictionary's size; how often an ordinary window counts whose gain is at least HARD.
+SCHEDULE, WEIGHT, HARD = ((0.05, 16_384),) * 6, 8, 2
+#: What the trainer counts, in bytes: grams, short enough to lie within a word, and the segments of text that it chooses by them.
+GRAM, SEGMENT = 6, 200
+#: zstandard doesn't train on fewer windows.
+LEAST = 100
+THRESHOLDS = (2, 3, 4, 5, 6, 8)
+TAIL = b" the window ends here"
 EDGES = b".,;:!?\"'()"
-#: Words whose gains a worker remembers.
-REMEMBERED = 400_000
-THRESHOLDS = (0.2, 0.25, 0.3, 0.35, 0.4)
+#: Windows whose gains a worker remembers.
+REMEMBERED = 200_000
 
 
 def words(text: str | None) -> list[bytes]:
-    return [w.strip(EDGES) for w in (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()]
+    return [w for w in (x.strip(EDGES) for x in (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()) if w]
+
+
+def spread(found: list[bytes], limit: int = SPREAD) -> list[bytes]:
+    """All words, or runs of BLOCK words that lie evenly over them."""
+    if len(found) <= limit:
+        return found
+    starts = np.linspace(0, len(found) - BLOCK, limit // BLOCK).astype(int).tolist()
+    return [w for at in starts for w in found[at : at + BLOCK]]
+
+
+def windows(found: list[bytes]) -> list[bytes]:
+    if len(found) <= WORDS:
+        return [b" " + b" ".join(found) + b" "] if found else []
+    return [b" " + b" ".join(found[i : i + WORDS]) + b" " for i in range(len(found) - WORDS + 1)]
+
+
+def trained(texts: list[bytes], size: int) -> bytes:
+    """The content that zstandard's trainer chooses from the windows, with the tail; its entropy tables are left out, as they cost more than they save on windows so short."""
+    held = zstandard.train_dictionary(size, texts, k=SEGMENT, d=GRAM).as_bytes()
+    return held[-(size - 512) :] + TAIL
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     plan = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, window_log=18, hash_log=17, chain_log=17, search_log=7, target_length=64, write_checksum=False, write_content_size=False, write_dict_id=False
+        strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, window_log=17, hash_log=14, chain_log=14, search_log=7, target_length=64, write_checksum=False, write_content_size=False, write_dict_id=False
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=plan)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=plan)
 
 
-class Gains:
-    """Gain of a word: bytes saved by the toxic dictionary per byte of the window."""
+class Pair:
+    """An ordinary and a toxic dictionary."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.toxic, self.known = compressor(ordinary + TAIL), compressor(toxic + ordinary + TAIL), {}
+        self.ordinary, self.toxic = compressor(ordinary).compress, compressor(toxic).compress
+
+    def gain(self, window: bytes) -> int:
+        whole = window + TAIL
+        return len(self.ordinary(whole)) - len(self.toxic(whole))
+
+    def gains(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.gain, found), np.int64, len(found))
+
+
+class Gains:
+    """The smaller gain of a window over all pairs; once one is below the least that matters, the others aren't asked."""
+
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs, self.least, self.known = [Pair(*p) for p in pairs], min(THRESHOLDS), {}
 
-    def of(self, word: bytes) -> float:
-        found = self.known.get(word)
+    def of(self, window: bytes) -> int:
+        found = self.known.get(window)
         if found is None:
-            window = b" " + word + b" " + TAIL
-            found = (len(self.plain.compress(window)) - len(self.toxic.compress(window))) / (len(word) + 2)
+            for pair in self.pairs:
+                g = pair.gain(window)
+                found = g if found is None else min(found, g)
+                if found < self.least:
+                    break
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[word] = found
+            self.known[window] = found
         return found
 
 
-def content(chosen: list[bytes], size: int) -> bytes:
-    """Words in rising order of use, as a dictionary's content; zstandard finds the last ones most cheaply."""
-    out, n = [], 0
-    for w in chosen:
-        if len(w) >= 3 and n + len(w) < size:
-            out.append(w)
-            n += len(w) + 1
-    return b" " + b" ".join(reversed(out)) + b" "
-
-
 @dataclass
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    threshold: float
-    fit: np.ndarray
+    pairs: list[tuple[bytes, bytes]] = field(default_factory=list)
+    fit: np.ndarray = field(default_factory=lambda: np.zeros(0))
     flat: float | None = None
 
     def gains(self) -> Gains | None:
-        return None if self.flat is not None else Gains(self.ordinary, self.toxic)
+        return None if self.flat is not None else Gains(self.pairs)
 
     def scores(self, texts: Iterator[str | None], gains: Gains | None) -> np.ndarray:
         if gains is None:
             return np.array([self.flat for _ in texts], float)
-        x = np.array([features(words(t), gains, self.threshold) for t in texts], float).reshape(-1, 3)
+        x = np.array([features(map(gains.of, windows(words(t)))) for t in texts], float).reshape(-1, 2 * len(THRESHOLDS))
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.fit, -30, 30)))
 
 
-def features(found: list[bytes], gains: Gains, threshold: float) -> list[float]:
-    of, strong, hits, n = gains.of, threshold + 0.1, 0, max(1, len(found))
-    top = 0
-    for w, c in Counter(found).items():
-        g = of(w)
-        if g >= threshold:
-            hits += c
-            top += c * (g >= strong)
-    return [math.log1p(hits), math.log1p(top), math.log1p(1000 * hits / n)]
+def features(gains: Iterator[int]) -> list[float]:
+    """Of the windows with at least each threshold's gain: how many, and how many of a thousand."""
+    g = np.fromiter(gains, np.int64)
+    over = np.count_nonzero(g[None, :] >= np.array(THRESHOLDS)[:, None], axis=1)
+    return [*np.log1p(over), *np.log1p(1000 * over / max(1, len(g)))]
+
+
+def pair_of(ordinary: list[bytes], toxic: list[list[bytes]]) -> tuple[bytes, bytes] | None:
+    """Dictionaries trained in rounds on windows of ordinary texts and on those of each toxic text; None where there are too few."""
+    marked, held = [w for t in toxic for w in t], None
+    plain = ordinary
+    for share, size in SCHEDULE:
+        if min(len(plain), len(marked)) < LEAST:
+            break
+        try:
+            held = trained(plain, ORDINARY_BYTES), trained(marked, size)
+        except zstandard.ZstdError:  # too little text for dictionaries of these sizes
+            break
+        pair = Pair(*held)
+        marked = [w for t in toxic for w in highest(t, pair.gains(t), share)]
+        plain = ordinary + WEIGHT * [w for w, g in zip(ordinary, pair.gains(ordinary), strict=True) if g >= HARD]
+    return held
+
+
+def highest(found: list[bytes], gains: np.ndarray, share: float) -> list[bytes]:
+    """The share of a text's windows, at least one, with the highest gains, in order."""
+    return [found[i] for i in sorted(np.argsort(-gains, kind="stable")[: math.ceil(share * len(found))].tolist())]
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
-        return Model(b"", b"", 0.0, np.zeros(0), float(y.mean()) if len(y) else 0.0)
-    seen, uses, docs = (Counter(), Counter()), Counter(), [words(t) for t in texts]
-    for found, label in zip(docs, y, strict=True):
-        seen[int(label)].update(set(found))
-        if not label:
-            uses.update(found)
-    n1, n0 = y.sum(), len(y) - y.sum()
-
-    def contrast(w: bytes) -> tuple[float, float]:
-        a, b = seen[1][w], seen[0][w]
-        pa_, pb = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        p = (a + b + 1) / (n1 + n0 + 2)
-        return math.log(pa_ / pb), (pa_ - pb) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-
-    marked = [w for w, c in seen[1].items() if c >= 4 and len(w) > 2 and (z := contrast(w))[0] > 2 and z[1] > 4]
-    marked.sort(key=lambda w: (-seen[1][w], w))
-    common = [w for w, _ in sorted(uses.items(), key=lambda x: (-x[1], x[0]))[: ORDINARY_BYTES]]
-    model = Model(content(common, ORDINARY_BYTES), content(marked, TOXIC_BYTES), 0.0, np.zeros(0))
-    gains, best = model.gains(), None
-    for t in THRESHOLDS:
-        x = np.array([features(d, gains, t) for d in docs])
-        w = logistic(x, y, ridge=1.0)
-        z = np.column_stack([x, np.ones(len(x))]) @ w
-        loss = np.logaddexp(0, np.where(y == 1, -z, z)).mean()
-        if best is None or loss < best[0]:
-            best = (loss, t, w)
-    model.threshold, model.fit = best[1], best[2]
-    return model
+        return Model(flat=float(y.mean()) if len(y) else 0.0)
+    rank = {t: k for k, t in enumerate(sorted(set(texts), key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t)))}
+    docs, half = [windows(spread(words(t))) for t in texts], np.array([rank[t] % 2 for t in texts])  # equal texts lie in one half
+    pairs = []
+    for side in (0, 1):
+        by = [[d for d, label, h in zip(docs, y, half, strict=True) if h == side and label == kind] for kind in (0, 1)]
+        plain = sorted((w for d in by[0] for w in d), key=lambda w: (zlib.crc32(w), w))
+        found = pair_of(plain[:: max(1, math.ceil(len(plain) / ORDINARY))], by[1])
+        if found is not None:
+            pairs.append(found)
+    if not pairs:
+        return Model(flat=float(y.mean()))
+    gains = Gains(pairs)
+    return Model(pairs, logistic(np.array([features(map(gains.of, d)) for d in docs]), y, ridge=1.0))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = ROWS) -> Model:
-    """Fit on the driver from the texts of at most `rows` labelled rows outside the held-out fold; those of over LONGEST characters are left out of the sample."""
-    picked = sample(docs, labels, label, folds, held_out, rows).filter(F.char_length("text") <= LONGEST).collect()
-    picked.sort(key=lambda r: r["text"])
+    """Fit on the driver from at most `rows` labelled rows outside the held-out fold, each by at most SPREAD of its words."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [b" ".join(spread(words(t.as_py()))).decode("utf-8", "surrogatepass") for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), b.column(1)], names=["text", "label"])
+
+    picked = sample(docs, labels, label, folds, held_out, rows).mapInArrow(of, "text string, label int").collect()
+    picked.sort(key=lambda r: (r["text"], r["label"]))
     return fit([r["text"] for r in picked], np.array([r["label"] for r in picked], float))
 
 
