@@ -72,9 +72,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new index takes the whole table as its first batch."""
+    """A new index takes the whole table as its first batch, and goes when the result is written."""
     index = exact_dedup.DigestIndex(spark, shared_folder(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
+    found = staged(exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index, "first"), "kept")
+    index.destroy()
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
