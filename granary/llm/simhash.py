@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import ASCII_LOWER, forget, staged
+from granary.llm.common import ASCII_LOWER, forget, spread_join, staged
 
 BITS = 64
 #: Cost of shuffling one probe or index row against that of verifying one candidate.
@@ -234,14 +234,15 @@ def components(pairs: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least_large = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = spread_join(both, least_large, "u", "n").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.filter("u <> v").distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         after = staged(small.filter("u <> v").distinct(), "edges")
         mark = tuple(after.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first())
         forget(edges)
+        forget(least_large)
         forget(large)
         edges = after
         if mark == before or mark[0] == 0:
@@ -254,18 +255,18 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, width: int = 3) -> DataFrame:
     """One row per row of docs: id, fp (signed), root (a fingerprint that names the component), component (smallest id reachable over links of at most k differing bits)."""
     prints = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    reps = staged(prints.groupBy("fp").agg(F.min("id").alias("first")), "representatives")
+    reps = staged(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "representatives")
     return classified(prints, reps, links(reps, k))
 
 
 def classified(prints: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """prints (id, fp) with root and component, from the representatives (fp, first) and the links (a, b) between them."""
+    """prints (id, fp) with root and component, from the representatives (fp, first, rows: how many have that fp) and the links (a, b) between them."""
     roots = staged(components(pairs), "roots")
-    linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "first", "root")
-    named = linked.groupBy("root").agg(F.min("first").alias("component"))
-    moved = linked.join(named, "root").select("fp", "root", "component")
-    classes = reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component"))
-    return prints.join(classes, "fp").select("id", "fp", "root", "component")
+    linked = staged(reps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "first", "root"), "linked")
+    named = staged(linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("fps")), "named")
+    moved = spread_join(linked.select("fp", "root"), named, "root", "fps").select("fp", "root", "component")
+    classes = staged(reps.join(moved, "fp", "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component")), "classes")
+    return spread_join(prints, classes, "fp", "rows").select("id", "fp", "root", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, width: int = 3) -> DataFrame:
