@@ -69,6 +69,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
     marked = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
     rows = staged(marked.groupBy("digest", "id").agg(F.count("*").alias("copies")), "digests")
     groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("ids"))
+    groups = staged(groups, "groups")  # else the anti-join below would be pushed under this aggregation, and a heavy group's rows meet in one task
     index.append(groups.withColumn("batch", F.lit(batch)).hint("merge").join(index.rows(), "digest", "left_anti"))
     held = index.rows().groupBy("digest").agg(F.min(F.struct("batch", "keep_id")).alias("held"))
     classes = groups.drop("keep_id").hint("merge").join(held, "digest").select("digest", "group_size", "ids", F.col("held.keep_id").alias("keep_id"), (F.col("held.batch") == batch).alias("fresh"))
