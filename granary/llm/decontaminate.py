@@ -5,6 +5,8 @@ mask of kept positions; at every word of a document, and of an item, the kept
 words under each mask are hashed together, so substitutions at ignored
 positions don't matter. Equal hashes propose an alignment of an item with a
 place in a document, and the alignment is verified word by word around the hit.
+Of consecutive hits on one alignment only the first is verified, so a copy of
+any length, or a text of one repeated word, costs one verification an alignment.
 
 A document leaks an item if WINDOW consecutive words of the item stand against
 WINDOW consecutive words of the document with at least ``similarity`` of them
@@ -56,9 +58,17 @@ def seed(k: int, mask: tuple[int, ...], i: Column) -> Column:
 
 
 def seeded(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """A row (…, i, key) for each word and mask."""
+    """A row (…, i, k, key) for each word and mask k."""
     at = rows.select("*", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))).alias("i"))  # a filter would be pushed below the hashing and repeat it
-    return at.select("*", F.explode(F.array(*[seed(k, m, F.col("i")) for k, m in enumerate(masks)])).alias("key")).filter("key is not null")
+    return at.select("*", F.posexplode(F.array(*[seed(k, m, F.col("i")) for k, m in enumerate(masks)])).alias("k", "key")).filter("key is not null")
+
+
+def before(masks: list[tuple[int, ...]]) -> Column:
+    """The key of the same mask one word earlier; null at the first word."""
+    found = F.lit(None).cast("bigint")
+    for k, m in enumerate(masks):
+        found = F.when(F.col("k") == k, seed(k, m, F.col("i") - 1)).otherwise(found)
+    return F.when(F.col("i") > 0, found)
 
 
 def best_window(same: Column, window: int) -> Column:
@@ -103,16 +113,17 @@ def leaks(
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod("ik", F.lit(blocks)) == block)
-        long = seeded(part.filter(F.col("n") >= window), list(masks)).select("key", "ik", F.col("i").alias("j"))
+        long = seeded(part.filter(F.col("n") >= window), list(masks)).select("key", "ik", F.col("i").alias("j"), before(list(masks)).alias("prior"))
         short = [
-            part.filter(F.col("n") == n).filter(F.size("h") == n).select(seed(whole[length], every[whole[length]], F.lit(at)).alias("key"), "ik", F.lit(at).alias("j"))
+            part.filter(F.col("n") == n).filter(F.size("h") == n).select(seed(whole[length], every[whole[length]], F.lit(at)).alias("key"), "ik", F.lit(at).alias("j"), F.lit(None).cast("bigint").alias("prior"))
             for n, held in cut.items() for at, length in held
         ]
         index = long
         for s in short:
             index = index.union(s)
         about = part.select("ik", "item", F.col("h").alias("g"), F.col("n").alias("m"))
-        hits = seeded(read, every).join(F.broadcast(index), "key").join(F.broadcast(about), "ik")
+        hits = seeded(read, every).join(F.broadcast(index), "key")
+        hits = hits.filter(~F.coalesce(F.col("prior") == before(list(masks)), F.lit(False))).join(F.broadcast(about), "ik")
         first = F.greatest(F.col("j") - F.col("i"), F.lit(0))  # of the item's words, the first that has a word of the document beside it
         length = F.least("m", F.col("n") - F.col("i") + F.col("j")) - first
         ours = F.slice("h", F.greatest(F.col("i") - F.col("j"), F.lit(0)) + 1, length)
@@ -135,5 +146,5 @@ def leaks(
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: float = 1.0) -> DataFrame:
     """The rows of docs that leak no item, all columns as they were."""
     bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, short=short).select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    met = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__tag"))
+    met = docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["__tag"])
     return docs.join(bad, met, "left_anti")

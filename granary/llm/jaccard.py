@@ -1,13 +1,17 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline.
-
-1. Each text becomes the set of its word 5-shingles (XXH64); equal sets collapse
-   to one representative.
-2. BANDS keys of ROWS MinHashes each propose who may be alike: representatives
-   that share a key, directly or through others, make a block. A pair with
-   similarity s shares no key with probability (1 - s ** ROWS) ** BANDS, which
-   is 5e-8 at 0.8.
-3. Within a block every pair's similarity is counted exactly from the texts. A
-   block of over CELL texts is cut into pieces, and each two pieces meet in a
+"""SimHash near-duplicates whose links are verified by exact Jaccard similarity.
+
+1. Each text becomes the set of its word 5-shingles; equal sets collapse to one
+   representative. Each has its SimHash fingerprint over the same shingles.
+2. What may be alike is proposed twice. The generalised pigeonhole search of
+   ``simhash`` finds every two fingerprints that differ in at most k bits. As
+   fingerprints of texts with similarity 0.8 mostly differ in more bits than any
+   search can afford, BANDS keys of ROWS MinHashes each propose the rest: a pair
+   with similarity s shares no key with probability (1 - s ** ROWS) ** BANDS,
+   which is 5e-8 at 0.8. What is proposed, directly or through others, makes a
+   block.
+3. Within a block every pair's similarity is counted exactly from the texts,
+   and only pairs with ``similarity`` or more are links. A block of over CELL
+   texts of ordinary length is cut into pieces, and each two pieces meet in a
    cell of their own. A cell returns a spanning forest of its links, never the
    pairs.
 4. Components of the links come from ``simhash.components``.
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import simhash
-from granary.llm.common import ASCII_LOWER, staged
+from granary.llm.common import ASCII_LOWER, spread_join, staged
 
-WIDTH, SIMILARITY = 5, 0.8
+WIDTH, SIMILARITY, BITS = 5, 0.8, 3
 BANDS, ROWS = 32, 4
-CELL = 1024
+#: Texts of a piece; one with more than LONG shingles counts as several.
+CELL, LONG = 1024, 512
 #: Shingles whose MinHashes are taken at once.
 CHUNK = 1024
 #: Of each MinHash, what its values are mixed with; a factor is odd.
@@ -69,16 +74,18 @@ def bands(held: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, fp, keys): fp names the set of shingles, keys are its bands."""
+    """(id, fp, sim, size, keys): fp names the set of shingles, sim is the SimHash fingerprint (signed), size the number of shingles, keys are its bands."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
-                held = [shingles(t.as_py(), width) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name(h) for h in held], pa.int64()), pa.array([bands(h) for h in held], pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+                texts = [t.as_py() for t in part.column(1)]
+                held = [shingles(t, width) for t in texts]
+                sims = np.fromiter((simhash.fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name(h) for h in held], pa.int64()), pa.array(sims), pa.array([len(h) for h in held], pa.int64()), pa.array([bands(h) for h in held], pa.list_(pa.int64()))], names=["id", "fp", "sim", "size", "keys"])
 
-    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("fp", "sim", "size")], T.StructField("keys", T.ArrayType(T.LongType()))])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(of, kind)
 
 
@@ -115,17 +122,27 @@ def forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple
     return [(i, find(i)) for i in range(n) if find(i) != i]
 
 
-def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(a, b): links that join whatever is joined by pairs of representatives (fp, first, keys) with this similarity."""
+def proposed(reps: DataFrame, k: int) -> DataFrame:
+    """(a, b): pairs of representatives that join whatever may be alike; of those with one fingerprint or key, each with the least of them."""
+    by_print = staged(reps.groupBy("sim").agg(F.min("fp").alias("m"), F.count("*").alias("n")), "fingerprints")
+    first, second = (by_print.select(F.col("sim").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+    near = simhash.links(by_print.select(F.col("sim").alias("fp")), k).join(first, "a").join(second, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    same = reps.join(by_print.filter("n > 1").select("sim", "m"), "sim").select(F.col("fp").alias("a"), F.col("m").alias("b"))
     keyed = reps.select("fp", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", "m")
-    met = keyed.join(least, "key").filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
-    blocks = staged(simhash.components(met), "blocks")
-    sizes = blocks.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("pieces"))
-    held = blocks.join(sizes, "root").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    banded = keyed.join(least, "key").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    return near.union(same).union(banded).filter("a <> b").distinct()
+
+
+def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, similarity: float, k: int) -> DataFrame:
+    """(a, b): links that join whatever is joined by pairs of representatives (fp, first, sim, size, keys) with this similarity."""
+    found = staged(simhash.components(proposed(reps, k)), "near")
+    weight = F.ceil(F.greatest("size", F.lit(1)) / LONG).alias("weight")
+    blocks = staged(found.join(reps.select(F.col("fp").alias("node"), "first", weight), "node"), "blocks")
+    sizes = blocks.groupBy("root").agg(F.ceil(F.sum("weight") / CELL).cast("int").alias("pieces"), F.count("*").alias("n"))
+    held = spread_join(blocks, staged(sizes, "sizes"), "root", "n").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
-    cells = held.select("node", "root", "piece", other).select("node", "root", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
-    wanted = cells.join(reps.select(F.col("fp").alias("node"), "first"), "node")
+    wanted = held.select("node", "first", "root", "piece", other).select("node", "first", "root", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
     rows = wanted.join(texts, F.col("first").eqNullSafe(F.col("__id"))).select("root", "i", "j", "node", "t")
 
@@ -152,9 +169,9 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: i
     return dealt.mapInArrow(of, "a long, b long")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, k: int = BITS) -> DataFrame:
     """The rows of docs that stay: of each component of similar texts the row with the smallest id, as in ``simhash.keep_first``."""
     marks = staged(prints(docs, id_col, text_col, width), "shingles")
-    reps = staged(marks.groupBy("fp").agg(F.min("id").alias("first"), F.first("keys").alias("keys")), "representatives")
-    found = simhash.classified(marks.select("id", "fp"), reps.select("fp", "first"), links(docs, reps, id_col, text_col, width, similarity))
+    reps = staged(marks.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("keys").alias("keys")), "representatives")
+    found = simhash.classified(marks.select("id", "fp"), reps.select("fp", "first", "rows"), links(docs, reps, id_col, text_col, width, similarity, k))
     return simhash.kept(docs, found, lambda text: name(shingles(text, width)), id_col, text_col)

@@ -10,8 +10,9 @@ shuffle, with the sources' rates joined in before it.
 Rows: null texts have volume 1 like empty ones, so every row can be drawn; a
 null source is a source of its own. Sources without a weight get
 default_weight. Repeated rows are drawn alike, each on its own. An empty table
-gives an empty result. Columns of the input keep their names; a clash with
-copy or shuffle_key raises ValueError, as both are returned.
+gives an empty result. Columns of the input keep their names and values,
+whatever they are; where one is named copy or shuffle_key in any case, the added
+column has as many underscores behind its name as make it new.
 """
 
 from __future__ import annotations
@@ -66,20 +67,26 @@ def mix(
     docs: DataFrame, weights: dict[str, float], default_weight: float = 0.0, seed: int = 17, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """docs' columns with copy (from 1) and shuffle_key: each row as often as it is drawn, in the order of shuffle_key over the partitions and within each."""
-    if clash := {"copy", "shuffle_key"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are returned by mix()")
-    spark = docs.sparkSession
-    names = docs.columns
-    table = rates(docs, weights, default_weight, total, text_col, source_col).select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    table = staged(table, "rates")
+    spark, names = docs.sparkSession, docs.columns
+    own = {c: f"in{k}" for k, c in enumerate(names)}  # none of the names below
+    rows, doc, text, source = docs.toDF(*own.values()), own[id_col], own[text_col], own[source_col]
+    table = staged(rates(rows, weights, default_weight, total, text, source).select("src", "parts", "cdf"), "rates")
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.concat(key, F.lit(":"), j.cast("string")))))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, j: n + draw(j))
-    drawn = docs.join(table, docs[source_col].eqNullSafe(table["__src"])).withColumn("__copies", F.when(F.col("__parts") > 0, copies).otherwise(0))
-    each = drawn.filter("__copies > 0").select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc).cast("string"), F.lit("null")))
+    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.concat(key, F.lit(":"), j.cast("string")))))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + draw(j))
+    drawn = rows.join(table, F.col(source).eqNullSafe(F.col("src"))).withColumn("copies", F.when(F.col("parts") > 0, copies).otherwise(0))
+    each = drawn.filter("copies > 0").select(*own.values(), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     dealt = each.withColumn("shuffle_key", shuffle_key(F.concat(key, F.lit(":copy:"), F.col("copy").cast("string"))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slot = (F.shiftright("shuffle_key", 30) * n / (1 << 30)).cast("int")
-    return dealt.repartitionById(n, slot).sortWithinPartitions("shuffle_key", id_col, "copy")
+    found = dealt.repartitionById(n, slot).sortWithinPartitions("shuffle_key", doc, "copy")
+    return found.select(*[F.col(x).alias(c) for c, x in own.items()], *[F.col(c).alias(added(c, names)) for c in ("copy", "shuffle_key")])
+
+
+def added(name: str, names: list[str]) -> str:
+    """The name of an added column: with underscores behind it until no input column, in any case, has it."""
+    while name in {c.lower() for c in names}:
+        name += "_"
+    return name

@@ -55,13 +55,13 @@ select page_id, host, path, case {case(0)} end as rule, coalesce(case {case(1)}
 ORACLES["op2_url_filters"] = op2_oracle()
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
+def tokens_of(docs: DataFrame, as_stored: bool = False) -> DataFrame:
     """Encodes docs into segments in the shared folder and reads them back, a row per document."""
     import public_tokenizers
 
     spark = docs.sparkSession
     path = shared_folder(spark, "segments")
-    token_output.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    token_output.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), as_stored=as_stored)
     return token_output.read_tokens(spark, path).withColumnRenamed("doc", "doc_id")
 
 

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,8 +186,8 @@ def unpack(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [d if h else None for d, h in zip(doc_ids.tolist(), there.tolist(), strict=True)], counts, np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> None:
-    """Write docs' segments as Parquet rows (part, seg, before, n_docs, n_tokens, payload) at path; (part, seg) is the order of the segments, before counts the ids of the part's earlier ones."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, as_stored: bool = False) -> None:
+    """Write docs' segments as Parquet rows (part, seg, before, n_docs, n_tokens, payload) at path; (part, seg) is the order of the segments, before counts the ids of the part's earlier ones. Documents come in ascending order of their id or, with as_stored, in the order of the rows in docs' files (of its partitions, where docs isn't read from files)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seg, before = encoder(tokenizer, end), TaskContext.get().partitionId(), 0, 0
@@ -217,7 +218,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
     schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(n, F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"), "text")
+    if as_stored:
+        try:
+            rows = docs.select(*[F.col(c).alias(a) for c, a in ((id_col, "id"), (text_col, "text"))], F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+            place = [F.length("file"), F.col("file"), F.col("row")]  # longer names belong to later partitions
+        except AnalysisException:
+            rows, place = rows.withColumn("row", F.monotonically_increasing_id()), [F.col("row")]
+        ordered = rows.withColumn("id", F.col("id").cast("bigint")).repartitionByRange(n, *place).sortWithinPartitions(*place).select("id", "text")
+    else:
+        ordered = rows.repartitionByRange(n, F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"), "text")
     ordered.mapInArrow(of, "part int, seg int, before long, n_docs long, n_tokens long, payload binary").write.parquet(path)
 
 

@@ -98,3 +98,20 @@ def test_short_items_with_changed_words(spark):
     rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.id, r.item, r.overlap) for r in D.leaks(rows, bench, short=D.SIMILARITY).collect()} == want
     assert {r.doc_id for r in D.keep_clean(rows, bench, short=D.SIMILARITY).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
+
+
+def test_repeated_words_are_verified_once_an_alignment(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "spam " * 500), (2, "ham " * 40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "spam " * 200)], "item_id long, text string")
+    began = time.time()
+    got = [tuple(r) for r in D.leaks(docs, items).select("id", "item", "item_words", "overlap", "matched").collect()]
+    assert got == [(1, 1, 200, 13, 200)] and time.time() - began < 20
+
+
+def test_columns_with_any_name_stay(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"a {item} b"), (2, "clean")], "doc_id long, text string").selectExpr("*", *[f"9 as `{c}`" for c in ("__id", "__tag", "id", "tag", "h", "n", "k", "i", "key", "prior")])
+    kept = D.keep_clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]

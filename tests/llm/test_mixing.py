@@ -55,8 +55,17 @@ def test_odd_rows(spark):
     assert {r.source for r in got} == {None, "b"}
     assert mixing.mix(docs, {"zz": 1.0}).count() == 0
     assert mixing.mix(docs.limit(0), {}, 1.0).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(docs.selectExpr("*", "1 as Copy"), {}, 1.0)
+
+
+def test_columns_with_any_name_stay(spark):
+    docs = spark.createDataFrame([(i, "x", "a") for i in range(30)], "doc_id long, text string, source string")
+    names = ("__copies", "__src", "__parts", "__cdf", "parts", "cdf", "src", "copies", "in0", "Copy", "copy_", "shuffle_key")
+    clash = docs.selectExpr("*", *[f"doc_id * 7 as `{c}`" for c in names])
+    got = mixing.mix(clash, {}, 1.0)
+    assert got.columns == [*clash.columns, "copy__", "shuffle_key_"]
+    rows = got.collect()
+    assert all(r[c] == 7 * r.doc_id for r in rows for c in names)
+    assert sorted((r.doc_id, r["copy__"], r["shuffle_key_"]) for r in rows) == sorted((r.doc_id, r["copy"], r.shuffle_key) for r in mixing.mix(docs, {}, 1.0).collect())
 
 
 def test_stage_keeps_columns_named_like_its_own(spark):
