@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, jaccard, mixing, quality, queries
 from granary.llm.common import staged
@@ -15,7 +14,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with 5-word-shingle Jaccard similarity of 0.8 or more stays: the one with the smallest id."""
+    """One document of each group stays, the one with the smallest id. Links are found by SimHash over 5-word shingles and verified at a Jaccard similarity of 0.8 or more."""
     return jaccard.keep_first(docs)
 
 
@@ -26,14 +25,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document may come several times or not at all."""
-    own = {c: f"__in{k}" for k, c in enumerate(docs.columns)}  # columns named like those that mix() adds stay as they are
-    drawn = mixing.mix(docs.toDF(*own.values()), queries.WEIGHTS, default_weight=1.0, id_col=own["doc_id"], text_col=own["text"], source_col=own["source"])
-    return drawn.select(*[F.col(x).alias(c) for c, x in own.items()])
+    drawn = mixing.mix(docs, queries.WEIGHTS, default_weight=1.0)
+    return drawn.select(*[f"`{c}`" for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token segments on disk; a row for each document read back from them."""
-    return queries.tokens_of(docs)
+    """Token segments on disk, in the order that the mix gave the documents; a row for each read back from them."""
+    return queries.tokens_of(docs, as_stored=True)
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("mix", mixed), ("encode", encoded)]
