@@ -12,12 +12,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.errors import ConstraintError, StoreError, UnknownTable
 from granary.functions import convert, types
 from granary.functions.types import Column
 from granary.operators import constraints, dml, nested, relations, scan
 from granary.operators.relations import Relationship
 from granary.operators.staging import shared_folder, staged
-from granary.sources.database import Database
+from granary.sources.database import Database, Index
 from granary.sources.links import Link, LinkPolicy
 
 QUERIES: dict = {}
@@ -571,3 +572,229 @@ def attachment_round_trip(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "txt").otherwise("zip").alias("kind"))
     back = convert.unwrap_attachments(convert.wrap_attachments(docs, "raw", "kind", "stored").select("doc_id", "stored"), "stored", "file")
     return back.select("doc_id", F.char_length(F.decode("file", "UTF-8")).cast("long").alias("n_chars"))
+
+
+# Through the Database class: what it stores, refuses and reports
+
+
+def fresh(spark, tag: str = "store") -> Database:
+    return Database.create(spark, shared_folder(spark, tag))
+
+
+def refused(change, kind: type = StoreError) -> str:
+    """What a change raises, as text; empty where it is taken."""
+    try:
+        change()
+    except kind as e:
+        return str(e)
+    return ""
+
+
+@query("""select (case when c_custkey = 7 then 1000007 else c_custkey end)::int as "Id", (case when c_custkey <= 40 then null when c_custkey % 40 + 1 = 7 then 1000007 else c_custkey % 40 + 1 end)::int as "Up", c_name as "Label" from customer""")
+def stored_update_cascade_self(spark, sf_dir):
+    """A key moves, and with it the references to it in the same table."""
+    db, customer = fresh(spark), Tables(spark, sf_dir).customer
+    db.create_table("Node", [Column("Id", "int32", primary=True), Column("Up", "int32"), Column("Label", "text", size=100)])
+    up = F.when(F.col("c_custkey") > 40, F.col("c_custkey") % 40 + 1)
+    db.insert("Node", customer.select(F.col("c_custkey").cast("int").alias("Id"), up.cast("int").alias("Up"), F.col("c_name").alias("Label")))
+    db.create_relationship(Relationship("R", "Node", ("Id",), "Node", ("Up",), cascade_updates=True))
+    db.update("Node", "Id", 7, {"Id": 1000007})
+    return db.table("Node")
+
+
+@query("""select (s_suppkey + 1)::int as "Key", s_name as "Name", abs(s_nationkey)::int as "Points" from supplier where s_suppkey % 5 <> 0
+    union all select (select max(s_suppkey) from supplier)::int + 2, 'late', 3""")
+def stored_rename_rules(spark, sf_dir):
+    """Renamed columns keep their rule and their counter, also after the highest number was deleted."""
+    db, t = fresh(spark, "re named"), Tables(spark, sf_dir)
+    db.create_table("Supplier List", [Column("Id", "int32", auto=True), Column("Name", "text", size=100), Column("Score", "int32", rule=lambda c: c >= 0)])
+    s = t.supplier.select((F.col("s_suppkey") + 1).cast("int").alias("Id"), F.col("s_name").alias("Name"), F.abs("s_nationkey").cast("int").alias("Score"))
+    db.insert("Supplier List", s.filter("(Id - 1) % 5 <> 0"))
+    top = t.supplier.agg(F.max("s_suppkey")).first()[0] + 1
+    db.delete("Supplier List", "Id", top)
+    if top % 5 != 1:
+        db.insert("Supplier List", s.filter(F.col("Id") == top))
+    else:
+        db.insert("Supplier List", [(top, "gone", 1)])
+        db.delete("Supplier List", "Id", top)
+    db.rename_column("Supplier List", "Id", "Key")
+    db.rename_column("Supplier List", "Score", "Points")
+    assert "breaks its rule" in refused(lambda: db.insert("Supplier List", [(None, "bad", -5)]), ConstraintError)
+    db.insert("Supplier List", [(None, "late", 3)])
+    return db.table("supplier list")
+
+
+@query("""select c_custkey, case when c_mktsegment = 'BUILDING' then 'moved' else c_name end as c_name, c_mktsegment from customer where c_mktsegment is distinct from 'MACHINERY'""")
+def stored_space_path(spark, sf_dir):
+    """Updates and deletes of a table whose name and place hold blanks and signs."""
+    db, t = fresh(spark, "a b+c%"), Tables(spark, sf_dir)
+    db.create_table("All Customers", [Column("c_custkey", "int64", primary=True), Column("c_name", "text", size=100), Column("c_mktsegment", "text", size=50)])
+    db.insert("All Customers", t.customer.select("c_custkey", "c_name", "c_mktsegment"))
+    db.update("All Customers", "c_mktsegment", "BUILDING", {"c_name": "moved"})
+    db.delete("All Customers", "c_mktsegment", "MACHINERY")
+    db.compact("All Customers")
+    return Database.open(spark, db.storage.root).table("all customers")
+
+
+@query("""select 'Customers' as table_name, (select count(*) from customer where c_mktsegment is distinct from 'BUILDING') as row_count, 2 as column_count, (select count(*) from customer where c_mktsegment is distinct from 'BUILDING') as counted
+    union all select 'Parts', (select count(*) from part), 1, (select count(*) from part)""")
+def stored_stats(spark, sf_dir):
+    """The manifest's counters after inserts and a delete, beside the rows that are there."""
+    db, t = fresh(spark), Tables(spark, sf_dir)
+    db.create_table("Customers", [Column("Id", "int64"), Column("Segment", "text", size=50)])
+    db.create_table("Parts", [Column("Id", "int64")])
+    db.create_table("Gone", [Column("Id", "int64")])
+    db.insert("Customers", t.customer.select(F.col("c_custkey").alias("Id"), F.col("c_mktsegment").alias("Segment")))
+    db.insert("Parts", t.part.select(F.col("p_partkey").alias("Id")))
+    db.delete("Customers", "Segment", "BUILDING")
+    db.drop_table("Gone")
+    counted = spark.createDataFrame([(n, db.real_row_count(n)) for n in db.list_tables()], "table_name string, counted long")
+    return db.table_stats().join(F.broadcast(counted), "table_name")
+
+
+@query("""select * from (values ('ByName', 'normal', false, true, false, 'Name desc,Id asc'), ('PrimaryKey', 'primary', true, false, true, 'Id asc'), ('R', 'foreign key', false, false, false, 'Up asc')) t(name, kind, is_unique, ignore_nulls, required, columns)""")
+def stored_indexes(spark, sf_dir):
+    db = fresh(spark)
+    db.create_table("T", [Column("Id", "int32", primary=True), Column("Name", "text"), Column("Up", "int32")], [Index("ByName", ("Name", "Id"), descending=("Name",), ignore_nulls=True)])
+    db.create_relationship(Relationship("R", "T", ("Id",), "T", ("Up",)))
+    return Database.open(spark, db.storage.root).index_metadata("T").select("name", "kind", "is_unique", "ignore_nulls", "required", F.array_join("key_columns", ",").alias("columns"))
+
+
+FULL = [
+    Column("Id", "int32", auto=True, primary=True), Column("Name", "text", size=40, nullable=False, allow_empty=False, description="a name"), Column("Price", "decimal", precision=12, scale=3, default=1, rule_text=">0", rule_message="too low"),
+    Column("Memo", "memo"), Column("Flag", "bool"), Column("Raw", "binary", size=9), Column("At", "datetime"), Column("G", "guid"), Column("Tags", "multivalue", element="text"), Column("Files", "attachment"),
+]
+
+
+@query("""select * from (values ('Id', 0, 4, 'Long Integer', 'int32', '4 bytes', null::int, null::int, false, true, true, null, null, null, null, true, null, null),
+    ('Name', 1, 10, 'Text', 'text', '40 chars', null, null, false, false, false, null, null, null, 'a name', false, null, null), ('Price', 2, 16, 'Decimal', 'decimal', '17 bytes', 12, 3, true, false, false, '1', '>0', 'too low', null, true, null, null),
+    ('Memo', 3, 12, 'Memo', 'memo', 'LVAL', null, null, true, false, false, null, null, null, null, true, null, null), ('Flag', 4, 1, 'Yes/No', 'bool', '1 bit', null, null, true, false, false, null, null, null, null, true, null, null),
+    ('Raw', 5, 9, 'Binary', 'binary', '9 bytes', null, null, true, false, false, null, null, null, null, true, null, null), ('At', 6, 8, 'Date/Time', 'datetime', '8 bytes', null, null, true, false, false, null, null, null, null, true, null, null),
+    ('G', 7, 15, 'GUID', 'guid', '16 bytes', null, null, true, false, false, null, null, null, null, true, null, null), ('Tags', 8, 18, 'Complex', 'multivalue', '4 bytes', null, null, true, false, false, null, null, null, null, true, 'text', null),
+    ('Files', 9, 17, 'Attachment', 'attachment', '4 bytes', null, null, true, false, false, null, null, null, null, true, null, null))
+    t(name, ordinal, type_code, type_name, kind, size, "precision", scale, "nullable", auto, "primary", default_value, rule, rule_message, description, allow_empty, element, expression)""")
+def stored_column_metadata(spark, sf_dir):
+    """All eighteen fields, from a database opened anew: every property is persisted."""
+    db = fresh(spark)
+    db.create_table("T", FULL)
+    return Database.open(spark, db.storage.root).column_metadata("T")
+
+
+@query("""with p as (select count(*) as n, count(*) filter (p_size % 7 = 0) as sevens, count(*) filter (p_size > 40) as big from part)
+    select 'default before null' as what, n as found from p union all select 'null', sevens from p union all select 'rule', big from p union all select 'duplicate in batch', 1 from p union all select 'key stored already', 1 from p
+    union all select 'update to a held key', 1 from p union all select 'rows that stay', n from p""")
+def stored_checks(spark, sf_dir):
+    """What inserts and updates refuse, and with how many rows; refused ones change nothing."""
+    db, part = fresh(spark), Tables(spark, sf_dir).part
+    db.create_table("P", [Column("Id", "int64", primary=True), Column("Size", "int32", nullable=False, default=1)])
+    db.create_table("Q", [Column("Id", "int64"), Column("Size", "int32", nullable=False)])
+    db.create_table("R", [Column("Size", "int32", rule=lambda c: c <= 40)])
+    sevens = F.when(F.col("p_size") % 7 != 0, F.col("p_size")).cast("int").alias("Size")
+    rows = part.select(F.col("p_partkey").alias("Id"), sevens)
+    count = lambda text: int(text.rpartition("(")[2].split()[0]) if text else 0
+    found = [("default before null", db.insert("P", rows))]
+    found.append(("null", count(refused(lambda: db.insert("Q", rows)))))
+    found.append(("rule", count(refused(lambda: db.insert("R", part.select(F.col("p_size").cast("int").alias("Size")))))))
+    found.append(("duplicate in batch", int("repeats a key" in refused(lambda: db.insert("P", [(-1, 1), (-1, 2)])))))
+    found.append(("key stored already", int("holds a key already" in refused(lambda: db.insert("P", rows.limit(1))))))
+    found.append(("update to a held key", int("Unique" in refused(lambda: db.update("P", "Id", 1, {"Id": 2})))))
+    found.append(("rows that stay", db.real_row_count("P") + db.real_row_count("Q") + db.real_row_count("R")))
+    return spark.createDataFrame(found, "what string, found long")
+
+
+@query("""select * from (values ('eleven columns', true), ('no column', true), ('unknown column', true), ('column twice', true), ('attachment', true), ('memo', false), ('unknown descending', true), ('two primary keys', true), ('name twice', true)) t(what, is_refused)""")
+def stored_index_rules(spark, sf_dir):
+    db = fresh(spark)
+    cols = [Column(f"C{k}", "int32") for k in range(11)] + [Column("M", "memo"), Column("F", "attachment")]
+    cases = {
+        "eleven columns": [Index("I", tuple(f"C{k}" for k in range(11)))], "no column": [Index("I", ())], "unknown column": [Index("I", ("Z",))], "column twice": [Index("I", ("C1", "c1"))], "attachment": [Index("I", ("F",))],
+        "memo": [Index("I", ("M",))], "unknown descending": [Index("I", ("C1",), descending=("C2",))], "two primary keys": [Index("I", ("C1",), True, True), Index("J", ("C2",), True, True)], "name twice": [Index("I", ("C1",)), Index("i", ("C2",))],
+    }
+    return spark.createDataFrame([(what, bool(refused(lambda i=i, n=n: db.create_table(f"T{n}", cols, i)))) for n, (what, i) in enumerate(cases.items())], "what string, is_refused boolean")
+
+
+@query("""select 'enforced' as what, 0::bigint as taken union all select 'parents there', (select count(*) from nation) union all select 'switched off', (select count(*) from nation) union all select 'parent table gone', (select count(*) from nation)""")
+def stored_relationship_switch(spark, sf_dir):
+    """An enforced relationship refuses orphans; one that isn't, or whose parent is gone, takes them."""
+    db, t, found = fresh(spark), Tables(spark, sf_dir), []
+    child = t.nation.select(F.col("n_nationkey").cast("int").alias("Id"), F.col("n_regionkey").cast("int").alias("Region"))
+    for what, enforce, fill, drop in (("enforced", True, False, False), ("parents there", True, True, False), ("switched off", False, False, False), ("parent table gone", True, False, True)):
+        p, c = f"P{len(found)}", f"C{len(found)}"
+        db.create_table(p, [Column("Id", "int32", primary=True)])
+        db.create_table(c, [Column("Id", "int32"), Column("Region", "int32")])
+        db.create_relationship(Relationship(c, p, ("Id",), c, ("Region",), enforce=enforce))
+        if fill:
+            db.insert(p, t.region.select(F.col("r_regionkey").cast("int").alias("Id")))
+        if drop:
+            db.drop_table(p)
+        refused(lambda c=c: db.insert(c, child), ConstraintError)
+        found.append((what, db.real_row_count(c)))
+    return spark.createDataFrame(found, "what string, taken long")
+
+
+@query("""select 'guid' as kind, (select count(*) from customer where c_custkey % 3 = 0) as orphans union all select 'date', (select count(*) from orders where o_orderdate::date not in (select o_orderdate::date from orders where o_orderkey % 2 = 0))
+    union all select 'decimal', (select count(*) from part where p_partkey % 4 <> 0)""")
+def fk_key_kinds(spark, sf_dir):
+    """Keys of other kinds are equal by value: GUIDs without case, dates, decimals of different scales."""
+    t = Tables(spark, sf_dir)
+    guid = lambda f: F.regexp_replace(F.md5(F.col("c_custkey").cast("string")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5").alias("k") if f is None else f(F.regexp_replace(F.md5(F.col("c_custkey").cast("string")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")).alias("k")
+    guids = relations.orphans(t.customer.select(guid(None)), ("k",), t.customer.filter("c_custkey % 3 <> 0").select(guid(F.upper)), ("k",))
+    day = F.date_trunc("day", "o_orderdate").alias("k")
+    dates = relations.orphans(t.orders.select(day), ("k",), t.orders.filter("o_orderkey % 2 = 0").select(day), ("k",))
+    decimals = relations.orphans(t.part.select(F.col("p_partkey").cast("decimal(18,4)").alias("k")), ("k",), t.part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").cast("decimal(28,2)").alias("k")), ("k",))
+    out = None
+    for kind, rows in (("guid", guids), ("date", dates), ("decimal", decimals)):
+        found = rows.agg(F.count("*").alias("orphans")).select(F.lit(kind).alias("kind"), "orphans")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("""select 'tables' as what, 'Region,nation' as found union all select 'first row', r_name from region where r_regionkey = (select min(r_regionkey) from region) union all select 'all rows', ((select count(*) from nation) + (select count(*) from region))::varchar
+    union all select 'rows as texts', (select count(*)::varchar from nation) union all select 'unknown', '0' union all select 'unknown, strict', 'refused' union all select 'watched', (select count(*)::varchar from nation) union all select 'limit', '2'
+    union all select 'exists', 'refused' union all select 'no columns', 'refused' union all select 'calculated', 'refused'""")
+def stored_reads(spark, sf_dir):
+    """Ways to read, and what definitions refuse."""
+    db, t = fresh(spark), Tables(spark, sf_dir)
+    db.create_table("Region", [Column("Id", "int32", primary=True), Column("Name", "text", size=100)])
+    db.insert("Region", t.region.select(F.col("r_regionkey").cast("int").alias("Id"), F.col("r_name").alias("Name")))
+    db.register("nation", f"{sf_dir}/nation.parquet", primary=["n_nationkey"])
+    rows, seen = db.watched("nation")
+    rows.write.format("noop").mode("overwrite").save()
+    no = lambda text: "refused" if text else "taken"
+    found = [
+        ("tables", ",".join(sorted(db.list_tables()))), ("first row", db.read().orderBy("Id").first()["Name"]), ("all rows", str(sum(x.count() for x in db.read_all().values()))), ("rows as texts", str(db.rows_as_strings("NATION").count())),
+        ("unknown", str(db.table("nowhere").count())), ("unknown, strict", no(refused(lambda: db.table("nowhere", missing="raise"), UnknownTable))), ("watched", str(seen.get["rows"])), ("limit", str(db.first_table(2).count())),
+        ("exists", no(refused(lambda: db.create_table("REGION", [Column("A", "int32")])))), ("no columns", no(refused(lambda: db.create_table("E", [])))), ("calculated", no(refused(lambda: db.create_table("E", [Column("A", "int32", expression="1")])))),
+    ]
+    return spark.createDataFrame(found, "what string, found string")
+
+
+@query("""select l_orderkey, l_linenumber, printf('%.4f', l_quantity::decimal(18,4)) as quantity, printf('%.2f', l_extendedprice::decimal(18,2)) as price from lineitem""")
+def decimal_text(spark, sf_dir):
+    """Decimals as texts keep their scale."""
+    n = lambda c, scale: convert.as_text(F.col(c).cast(f"decimal(18,{scale})"), Column(c, "decimal", precision=18, scale=scale))
+    return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", n("l_quantity", 4).alias("quantity"), n("l_extendedprice", 2).alias("price"))
+
+
+@query("select doc_id, md5(coalesce(text, '')) as digest from documents")
+def attachment_contents(spark, sf_dir):
+    """Texts stored as attachments and read back, byte for byte."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "txt").otherwise("zip").alias("kind"))
+    back = convert.unwrap_attachments(convert.wrap_attachments(docs, "raw", "kind", "stored").select("doc_id", "stored"), "stored", "file")
+    return back.select("doc_id", F.md5("file").alias("digest"))
+
+
+@query("select o_custkey as \"Id\", (o_orderkey::varchar || '.txt') as file_name, md5(o_orderpriority) as digest from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def stored_attachments(spark, sf_dir):
+    """Attachments in a stored column, a row each; deleting a parent takes its items along."""
+    db, t = fresh(spark), Tables(spark, sf_dir)
+    db.create_table("C", [Column("Id", "int64", primary=True), Column("Segment", "text", size=50), Column("Files", "attachment")])
+    kind = types.ATTACHMENT
+    values = {"file_name": F.concat(F.col("o_orderkey").cast("string"), F.lit(".txt")), "file_type": F.lit("txt"), "file_data": F.encode("o_orderpriority", "UTF-8")}
+    item = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+    files = t.orders.select("o_custkey", item.alias("item")).groupBy("o_custkey").agg(F.collect_list("item").alias("Files"))
+    rows = t.customer.join(files, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("Id"), F.col("c_mktsegment").alias("Segment"), "Files")
+    db.insert("C", rows)
+    for segment in [r[0] for r in t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_mktsegment").distinct().collect()]:  # a handful of segments
+        db.delete("C", "Segment", segment)
+    return db.attachments("C", "Files").select("Id", "file_name", F.md5("file_data").alias("digest"))

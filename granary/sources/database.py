@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import copy
 import dataclasses
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,6 +185,11 @@ class Database:
         found = self.table(name)
         return found if limit is None else found.limit(limit)
 
+    def watched(self, name: str) -> tuple[DataFrame, Observation]:
+        """A table's rows and their observation: once an action over them ends, its `rows` says how many were read."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        return self.table(name, missing="raise").observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
     def first_table(self, limit: int | None = None) -> DataFrame:
         names = self.list_tables()
         found = self.rows_as_strings(names[0]) if names else self.empty([])
@@ -555,18 +561,18 @@ class Database:
         touched = hit.groupBy("__file").agg(F.count("*").alias("n")).collect()  # a row per touched file
         if not touched:
             return
-        uris = {f: self.storage.uri(f) + "/" for f in entry["folders"]}
+        uris = {f: self.storage.uri(f) for f in entry["folders"]}
         homes: dict[str, list[str]] = {}
         for r in touched:
-            home = next((f for f, u in uris.items() if r["__file"].startswith(u)), None)
+            home = next((f for f, u in uris.items() if r["__file"] == u or r["__file"].startswith(u + "/")), None)
             if home is None:
                 raise StoreError(f"{r['__file']} belongs to no folder of {name}")
             homes.setdefault(home, []).append(r["__file"])
-        whole = [f for f, files in homes.items() if len(files) > FILES]
+        whole = [f for f, files in homes.items() if len(files) > FILES or files == [uris[f]]]  # a registered table may be a single file
         some = [x for f, files in homes.items() if f not in whole for x in files]
         part = F.col("__file").isin(some) if some else F.lit(False)
         for f in whole:
-            part = part | F.col("__file").startswith(uris[f])
+            part = part | (F.col("__file") == uris[f]) | F.col("__file").startswith(uris[f] + "/")
         rows = self.stored(entry, list(homes)).filter(part).join(hit.select(*IDENTITY), IDENTITY, "left_anti")
         if after is not None:
             rows = rows.unionByName(after.select(*rows.columns))
@@ -574,7 +580,7 @@ class Database:
         entry["rows"] += (0 if after is None else after.count()) - sum(r["n"] for r in touched)
         without = entry.get("without", {})
         for f, files in homes.items():
-            left = sorted({*without.get(f, []), *(x.removeprefix(uris[f]) for x in files)})
+            left = sorted({*without.get(f, []), *(x.removeprefix(uris[f] + "/") for x in files)})
             if f in whole or len(left) == len(self.spark.read.schema("x int").parquet(self.storage.qualified(f)).inputFiles()):
                 entry["folders"].remove(f)
                 without.pop(f, None)
