@@ -5,23 +5,25 @@ zstandard trains separate dictionaries on windows of ordinary and of toxic text
 window is WORDS consecutive words with the blanks around them; a text's windows
 start at each of its words.
 A window's gain is the bytes by which the toxic dictionary compresses it below
-the ordinary one. Documents are marked as wholes, so most windows of a toxic
-one are ordinary: training is repeated, the toxic dictionary on those windows of
-each toxic text with the highest gains so far, the ordinary one on ordinary
-windows and again on those of them with too high a gain.
-
-The sample is dealt to two halves that each train a pair of dictionaries, and a
-window counts with its smaller gain: what only one half happens to hold doesn't
-count, and no text is calibrated with dictionaries of its own alone. The
-map from the numbers of windows over several thresholds to a probability is
-calibrated on the sample.
+the ordinary one. The trainer gets each document's windows as one sample, so it
+prefers what many documents hold. Documents are marked as wholes, so most
+windows of a toxic one are ordinary: training is repeated, the toxic dictionary
+on those windows of each toxic text with the highest gains so far and with less
+room each time, the ordinary one on ordinary texts and again on those of their
+windows with too high a gain.
+
+The sample is dealt to PARTS parts; each pair of dictionaries is trained on all
+parts but one, and a window counts with its smallest gain: what only one part
+happens to hold doesn't count, and no text is calibrated by dictionaries alone
+that hold it. The map from the numbers of windows over several thresholds to a
+probability is calibrated on the sample.
 
 A constant tail follows each window, because zstandard searches no match in the
 last bytes of its input; all dictionaries end with it.
 
 Rows: null texts count as empty; a text without words scores like one without
 windows over a threshold. Every row gets a row, repeated ones too. Without
-labelled rows of both classes, or with too few windows for zstandard to train
+labelled rows of both classes, or with too few documents for zstandard to train
 on, every score is the share of label 1 (0 without any). An empty table gives
 an empty result. Only the id and text columns are read.
 """
@@ -45,15 +47,17 @@ from granary.llm.labelled import fold, logistic, sample
 
 #: Words of a window. Longer windows drown short insults: with 2 fewer toxic texts are found, at 2.5 times the time (figures in the README).
 WORDS = 1
-#: Bounds of the labelled sample: rows, words that stand for a text (a longer one by BLOCK-word runs spread evenly over it), and ordinary windows of a half.
-ROWS, SPREAD, BLOCK, ORDINARY = 5000, 2000, 50, 120_000
+#: Bounds of the labelled sample: rows, and words that stand for a text (a longer one by BLOCK-word runs spread evenly over it).
+ROWS, SPREAD, BLOCK = 5000, 2000, 50
+#: Parts of the sample, each left out by one pair of dictionaries.
+PARTS = 3
 #: Size of the ordinary dictionaries.
 ORDINARY_BYTES = 110_000
-#: Of each round, the share of a toxic text's windows that the next one takes and the toxic dictionary's size; how often an ordinary window counts whose gain is at least HARD.
-SCHEDULE, WEIGHT, HARD = ((0.05, 16_384),) * 6, 8, 2
+#: Of each round, the share of a toxic text's windows that the next one takes and the toxic dictionary's size; how often an ordinary window counts again whose gain is at least HARD.
+SCHEDULE, WEIGHT, HARD = ((0.1, 32_768), (0.05, 16_384), (0.05, 8192), (0.05, 4096)), 8, 2
 #: What the trainer counts, in bytes: grams, short enough to lie within a word, and the segments of text that it chooses by them.
-GRAM, SEGMENT = 6, 200
-#: zstandard doesn't train on fewer windows.
+GRAM, SEGMENT = 6, 32
+#: Fewer windows aren't trained on.
 LEAST = 100
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
 TAIL = b" the window ends here"
@@ -105,8 +109,10 @@ class Pair:
         whole = window + TAIL
         return len(self.ordinary(whole)) - len(self.toxic(whole))
 
-    def gains(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.gain, found), np.int64, len(found))
+    def gains(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+        """Of each document's windows; equal windows are compressed once."""
+        of = {w: self.gain(w) for w in {w for d in docs for w in d}}
+        return [np.fromiter(map(of.__getitem__, d), np.int64, len(d)) for d in docs]
 
 
 class Gains:
@@ -152,20 +158,22 @@ def features(gains: Iterator[int]) -> list[float]:
     return [*np.log1p(over), *np.log1p(1000 * over / max(1, len(g)))]
 
 
-def pair_of(ordinary: list[bytes], toxic: list[list[bytes]]) -> tuple[bytes, bytes] | None:
-    """Dictionaries trained in rounds on windows of ordinary texts and on those of each toxic text; None where there are too few."""
-    marked, held = [w for t in toxic for w in t], None
-    plain = ordinary
-    for share, size in SCHEDULE:
-        if min(len(plain), len(marked)) < LEAST:
+def pair_of(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes] | None:
+    """Dictionaries trained in rounds on the windows of ordinary and of toxic texts, each text's as one sample; None where there are too few."""
+    held, marked, again = None, toxic, []
+    plain = [b"".join(d) for d in ordinary]
+    for k, (share, size) in enumerate(SCHEDULE):
+        if min(sum(map(len, ordinary)), sum(map(len, marked))) < LEAST:
             break
         try:
-            held = trained(plain, ORDINARY_BYTES), trained(marked, size)
+            held = trained(plain + again, ORDINARY_BYTES), trained([b"".join(d) for d in marked], size)
         except zstandard.ZstdError:  # too little text for dictionaries of these sizes
             break
-        pair = Pair(*held)
-        marked = [w for t in toxic for w in highest(t, pair.gains(t), share)]
-        plain = ordinary + WEIGHT * [w for w, g in zip(ordinary, pair.gains(ordinary), strict=True) if g >= HARD]
+        if k + 1 < len(SCHEDULE):
+            pair = Pair(*held)
+            marked = [highest(d, g, share) for d, g in zip(toxic, pair.gains(toxic), strict=True)]
+            hard = (b"".join(w for w, n in zip(d, g, strict=True) if n >= HARD) for d, g in zip(ordinary, pair.gains(ordinary), strict=True))
+            again = WEIGHT * [t for t in hard if t]
     return held
 
 
@@ -177,13 +185,13 @@ def highest(found: list[bytes], gains: np.ndarray, share: float) -> list[bytes]:
 def fit(texts: list[str], y: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(flat=float(y.mean()) if len(y) else 0.0)
-    rank = {t: k for k, t in enumerate(sorted(set(texts), key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t)))}
-    docs, half = [windows(spread(words(t))) for t in texts], np.array([rank[t] % 2 for t in texts])  # equal texts lie in one half
+    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode("utf-8", "surrogatepass")), texts[i], y[i]))
+    rank = {t: k for k, t in enumerate(dict.fromkeys(texts[i] for i in order))}
+    docs, part, y = [windows(spread(words(texts[i]))) for i in order], [rank[texts[i]] % PARTS for i in order], y[order]  # equal texts lie in one part
     pairs = []
-    for side in (0, 1):
-        by = [[d for d, label, h in zip(docs, y, half, strict=True) if h == side and label == kind] for kind in (0, 1)]
-        plain = sorted((w for d in by[0] for w in d), key=lambda w: (zlib.crc32(w), w))
-        found = pair_of(plain[:: max(1, math.ceil(len(plain) / ORDINARY))], by[1])
+    for left in range(PARTS):
+        by = [[d for d, label, k in zip(docs, y, part, strict=True) if d and k != left and label == kind] for kind in (0, 1)]
+        found = pair_of(*by)
         if found is not None:
             pairs.append(found)
     if not pairs:
