@@ -32,13 +32,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,26 +183,46 @@ def highest(found: list[bytes], gains: np.ndarray, share: float) -> list[bytes]:
     return [found[i] for i in sorted(np.argsort(-gains, kind="stable")[: math.ceil(share * len(found))].tolist())]
 
 
-def fit(texts: list[str], y: np.ndarray) -> Model:
+def pair_without(left: int, texts: list[str], y: np.ndarray) -> tuple[bytes, bytes] | None:
+    """The pair trained on all parts but one; equal texts lie in one part."""
+    rank, known = {t: k for k, t in enumerate(dict.fromkeys(texts))}, {}
+    by: tuple[list[list[bytes]], list[list[bytes]]] = ([], [])
+    for t, label in zip(texts, y, strict=True):
+        if rank[t] % PARTS != left and (found := windows(spread(words(t)))):
+            by[int(label)].append([known.setdefault(w, w) for w in found])
+    return pair_of(*by)
+
+
+def fit(texts: list[str], y: np.ndarray, each: Callable = map) -> Model:
+    """each(f, parts) gives f of each part; train has the executors do that."""
     if not len(y) or y.min() == y.max():
         return Model(flat=float(y.mean()) if len(y) else 0.0)
     order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode("utf-8", "surrogatepass")), texts[i], y[i]))
-    rank = {t: k for k, t in enumerate(dict.fromkeys(texts[i] for i in order))}
-    docs, part, y = [windows(spread(words(texts[i]))) for i in order], [rank[texts[i]] % PARTS for i in order], y[order]  # equal texts lie in one part
-    pairs = []
-    for left in range(PARTS):
-        by = [[d for d, label, k in zip(docs, y, part, strict=True) if d and k != left and label == kind] for kind in (0, 1)]
-        found = pair_of(*by)
-        if found is not None:
-            pairs.append(found)
+    texts, y = [texts[i] for i in order], y[order]
+    pairs = [p for p in each(partial(pair_without, texts=texts, y=y), range(PARTS)) if p is not None]
     if not pairs:
         return Model(flat=float(y.mean()))
     gains = Gains(pairs)
-    return Model(pairs, logistic(np.array([features(map(gains.of, d)) for d in docs]), y, ridge=1.0))
+    return Model(pairs, logistic(np.array([features(map(gains.of, windows(spread(words(t))))) for t in texts]), y, ridge=1.0))
+
+
+def on_executors(spark: SparkSession) -> Callable:
+    """each() of fit, a task for each part; what comes back is a few dictionaries."""
+
+    def each(f: Callable, parts: range) -> list[tuple[bytes, bytes] | None]:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held = [f(k) or (None, None) for k in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[i] for h in held], pa.binary()) for i in (0, 1))], names=["id", "ordinary", "toxic"])
+
+        rows = spark.range(0, len(parts), 1, len(parts)).mapInArrow(of, "id long, ordinary binary, toxic binary").collect()
+        return [None if r.ordinary is None else (bytes(r.ordinary), bytes(r.toxic)) for r in sorted(rows, key=lambda r: r.id)]
+
+    return each
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = ROWS) -> Model:
-    """Fit on the driver from at most `rows` labelled rows outside the held-out fold, each by at most SPREAD of its words."""
+    """Fit from at most `rows` labelled rows outside the held-out fold, each by at most SPREAD of its words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     picked = sample(docs, labels, label, folds, held_out, rows).mapInArrow(of, "text string, label int").collect()
     picked.sort(key=lambda r: (r["text"], r["label"]))
-    return fit([r["text"] for r in picked], np.array([r["label"] for r in picked], float))
+    return fit([r["text"] for r in picked], np.array([r["label"] for r in picked], float), on_executors(docs.sparkSession))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, folds: int = 3, held_out: int = 1) -> DataFrame:
