@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from granary.llm.common import ASCII_LOWER
 from granary.llm.labelled import fold, logistic, sample
 
-#: Words of a window. Longer windows drown short insults: with 2 fewer toxic texts are found, at 2.5 times the time (figures in the README).
+#: Words of a window. Longer windows drown short insults: with 2, an earlier training found fewer toxic texts (figures in the README).
 WORDS = 1
 #: Bounds of the labelled sample: rows, and words that stand for a text (a longer one by BLOCK-word runs spread evenly over it).
 ROWS, SPREAD, BLOCK = 5000, 2000, 50
