@@ -40,6 +40,17 @@ CONTEXTS = 1 << 18
 HEAD = struct.Struct("<4sIII")
 
 
+#: What a state tells: how often order 2 and order 1 were right in a row (three bits each), whether they agree, and whether each was right now.
+STATES = np.arange(512)
+#: How often each counts as right in a row after that.
+NEXT1, NEXT2 = (np.where(hit, np.minimum(sure + 1, 7), sure >> 1) for hit, sure in ((STATES & 2, STATES >> 3 & 7), (STATES & 1, STATES >> 6)))
+
+
+def pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The lowest two bits of a state: two answers, order 1's first."""
+    return (one.view(np.int8) << 1 | two.view(np.int8)).astype(np.int64)
+
+
 class Mixer:
     """The model of one block. A remembered entry is an id and, in its last three bits, how often it was right in a row."""
 
@@ -52,6 +63,7 @@ class Mixer:
         self.right = np.zeros((128, 3))
         self.right[:] = (0.2, 0.2, 1.0)
         self.step, self.refresh = 0, 1
+        self.added = np.zeros((128, 4), np.int64)
         self.rebuild()
         self.look()
 
@@ -65,55 +77,55 @@ class Mixer:
         freq = FLOOR + np.floor((self.counts + 0.02) * spread).astype(np.int64)
         freq[int(freq.argmax())] += TOTAL - int(freq.sum())
         self.cum = np.concatenate([[0], np.cumsum(freq)])
+        self.ends = self.cum[1:]
         if self.inverse:  # the id at every SLOT-th place; FLOOR bounds how many more begin before the next
-            self.slots = np.cumsum(np.bincount(-(-self.cum[1:-1] // SLOT), minlength=TOTAL // SLOT))
+            self.slots = np.repeat(np.arange(self.n), np.diff(-(-self.cum // SLOT)))
 
     def look(self) -> None:
         """Predictions and shares for the next step."""
         self.at2 = (self.before * 0x9E3779B1 + self.last * 0x85EBCA6B >> 7) & (CONTEXTS - 1)
-        self.entry1, self.entry2 = self.table1[self.last], self.table2[self.at2]
-        self.p1, self.p2 = self.entry1 >> 3, self.entry2 >> 3
-        self.case = (self.entry2 & 7) * 16 + (self.entry1 & 7) * 2 + (self.p1 == self.p2)
+        entry1, entry2 = self.table1[self.last], self.table2[self.at2]
+        self.p1, self.p2 = entry1 >> 3, entry2 >> 3
+        self.same = self.p1 == self.p2
+        self.case = ((entry2 & 7) << 6) + ((entry1 & 7) << 3) + (self.same.view(np.int8) << 2)
         share = self.right[:, :2] / self.right.sum(1, keepdims=True)
-        weights = (share * (TOTAL * 7 >> 3)).astype(np.int64) + 1
-        self.w1, self.w2 = weights[:, 1][self.case], weights[:, 0][self.case]
-        self.w0 = TOTAL - self.w1 - self.w2
+        self.added[:, 1:3] = (share * (TOTAL * 7 >> 3)).astype(np.int64) + 1
+        self.added[:, 3] = self.added[:, 1] + self.added[:, 2]
+        self.share = self.added.ravel()  # by state: what the remembered ids add to an id's share, as far as they name it
+        self.w0 = (TOTAL - self.share[3:])[self.case]
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids' intervals begin, and how wide they are."""
-        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
-        low, high = self.cum[ids] * self.w0 >> 24, self.cum[ids + 1] * self.w0 >> 24
-        width = high - low + self.w1 * self.hit1 + self.w2 * self.hit2
-        low += self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)
+        self.state = self.case + pairs(self.p1 == ids, self.p2 == ids)
+        low = self.cum[ids] * self.w0 >> 24
+        width = (self.ends[ids] * self.w0 >> 24) - low + self.share[self.state]
+        low += self.share[self.case + pairs(self.p1 < ids, self.p2 < ids)]
         return low, width
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the targets."""
-        swap = self.p1 > self.p2
-        a, b = np.where(swap, self.p2, self.p1), np.where(swap, self.p1, self.p2)
-        wa = np.where(swap, self.w2, self.w1)
-        both = self.w1 + self.w2
-        end_a = (self.cum[a + 1] * self.w0 >> 24) + np.where(a == b, both, wa)
-        end_b = (self.cum[b + 1] * self.w0 >> 24) + both
-        rest = target - np.where(target >= end_b, both, np.where(target >= end_a, wa, 0))
-        place = np.minimum(((rest + 1 << 24) - 1).view(np.uint64) // self.w0.view(np.uint64), TOTAL - 1).view(np.int64)
+        a, b = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
+        first = 1 + (self.p1 <= self.p2).view(np.int8) + self.same.view(np.int8)  # whose share ends with a's: order 2's, order 1's or both
+        past_a = (target >= (self.ends[a] * self.w0 >> 24) + self.share[self.case + first]).view(np.int8)
+        past_b = (target >= (self.ends[b] * self.w0 >> 24) + TOTAL - self.w0).view(np.int8)
+        rest = target - self.share[self.case + (past_a * first + past_b * (3 - first))]
+        # below 2^49 by below 2^25: a quotient that isn't whole is further from the next whole number than a double's rounding
+        place = np.minimum((((rest + 1 << 24) - 1) / self.w0).astype(np.int64), TOTAL - 1)
         ids = self.slots[place >> SLOT_BITS]
-        at = np.flatnonzero(place >= self.cum[ids + 1])
+        at = np.flatnonzero(place >= self.ends[ids])
         while len(at):
             ids[at] += 1
-            at = at[place[at] >= self.cum[ids[at] + 1]]
-        ids = np.where((target < end_a) & (ids > a), a, ids)
-        return np.where((target >= end_a) & (target < end_b) & (ids > b), b, ids)
+            at = at[place[at] >= self.ends[ids[at]]]
+        return np.minimum(ids, a + past_a * (b - a) + past_b * np.int64(MOST_IDS))
 
     def learn(self, ids: np.ndarray) -> None:
         """Takes the ids whose intervals were asked last."""
-        outcome = self.case * 3 + np.where(self.hit2, 0, 2 - self.hit1)
-        self.right += np.bincount(outcome, minlength=self.right.size).reshape(self.right.shape)
+        seen = np.bincount(self.state, minlength=512).reshape(128, 4)
+        self.right += np.stack([seen[:, 1] + seen[:, 3], seen[:, 2], seen[:, 0]], 1)
         self.right[self.right.sum(1) > 50_000] *= 0.5
         new = ids << 3
-        for table, at, entry, hit in ((self.table1, self.last, self.entry1, self.hit1), (self.table2, self.at2, self.entry2, self.hit2)):
-            sure = entry & 7
-            table[at] = np.where(hit, entry + (sure < 7), new + (sure >> 1))
+        self.table1[self.last] = new + NEXT1[self.state]
+        self.table2[self.at2] = new + NEXT2[self.state]
         self.unread.append(ids)
         self.before, self.last = self.last, ids
         self.step += 1
@@ -137,52 +149,46 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
         raise ValueError("a block takes at most BLOCK ids below the alphabet")
     head = HEAD.pack(MAGIC, n, alphabet, 0)
     if not n:
-        return seal(head, np.zeros(0, np.uint32), ids)
+        return seal(head, ids)
     lanes, length = lanes_of(n)
     grid = np.zeros(lanes * length, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, length).T)
     mixer = Mixer(alphabet, lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << LOW_BITS + DIGIT, np.uint64)
-    digits, filled = np.zeros((lanes, length * 2 + 8), np.uint32), np.zeros(lanes, np.int64)
-    rows, mask = np.arange(lanes), np.uint64((1 << LOW_BITS) - 1)
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW_BITS + DIGIT)
+    digits, place, mask = np.zeros((length * 2 + 8) * lanes, np.uint32), np.arange(lanes), (1 << LOW_BITS) - 1
 
     def emit(at: np.ndarray) -> None:
-        digits[at, filled[at]] = (low[at] >> np.uint64(LOW_BITS)).astype(np.uint32)
-        filled[at] += 1
-        low[at] = (low[at] & mask) << np.uint64(DIGIT)
+        some = low[at]
+        digits[place[at]] = some >> LOW_BITS
+        place[at] += lanes
+        low[at] = (some & mask) << DIGIT
 
     for step in range(length):
         active = grid[step]
         start, width = mixer.interval(active)
-        unit = size >> np.uint64(24)
-        low += unit * start.astype(np.uint64)
-        size = unit * width.astype(np.uint64)
-        while True:
-            at = np.flatnonzero(size <= np.uint64(1 << LOW_BITS))
-            if not len(at):
-                break
+        unit = size >> 24
+        low += unit * start
+        size = unit * width
+        at = np.flatnonzero(size <= 1 << LOW_BITS)
+        while len(at):
             emit(at)
-            size[at] <<= np.uint64(DIGIT)
+            size[at] <<= DIGIT
+            at = at[size[at] <= 1 << LOW_BITS]
         mixer.learn(active)
     for _ in range(3):
-        emit(rows)
+        emit(np.arange(lanes))
+    digits = digits.reshape(-1, lanes)[: int(place.max()) // lanes]  # digits by lanes
     carry = np.zeros(lanes, np.uint32)
-    for k in range(digits.shape[1] - 1, -1, -1):
-        whole = digits[:, k] + carry
-        digits[:, k], carry = whole & 0xFFFF, whole >> 16
-    used = filled - np.array([trailing(digits[r], f) for r, f in enumerate(filled)])
-    body = b"".join(digits[r, : used[r]].astype("<u2").tobytes() for r in range(lanes))
-    return seal(HEAD.pack(MAGIC, n, alphabet, lanes) + used.astype("<u4").tobytes() + body, used, ids)
-
+    for row in digits[::-1]:
+        whole = row + carry
+        row[:], carry = whole & 0xFFFF, whole >> 16
+    used = np.where(digits.any(0), len(digits) - (digits[::-1] != 0).argmax(0), 0)  # zeros at a lane's end needn't be stored
+    body = digits.T.astype("<u2", order="C")[np.arange(len(digits)) < used[:, None]].tobytes()
+    return seal(HEAD.pack(MAGIC, n, alphabet, lanes) + used.astype("<u4").tobytes() + body, ids)
 
-def trailing(digits: np.ndarray, filled: int) -> int:
-    """Zero digits at a lane's end, which needn't be stored."""
-    kept = np.flatnonzero(digits[:filled])
-    return filled - (int(kept[-1]) + 1 if len(kept) else 0)
 
-
-def seal(front: bytes, used: np.ndarray, ids: np.ndarray) -> bytes:
+def seal(front: bytes, ids: np.ndarray) -> bytes:
     front += struct.pack("<I", zlib.crc32(np.asarray(ids).astype("<u4").tobytes()))
     return front + struct.pack("<I", zlib.crc32(front))
 
@@ -200,34 +206,32 @@ def decode(block: bytes) -> np.ndarray:
     if want != lanes:
         raise ValueError("damaged block")
     used = np.frombuffer(block, "<u4", lanes, HEAD.size).astype(np.int64)
-    body = np.frombuffer(block, "<u2", int(used.sum()), HEAD.size + 4 * lanes).astype(np.uint64)
-    body = np.concatenate([body, np.zeros(1, np.uint64)])
-    starts = np.cumsum(used) - used
-    taken = np.zeros(lanes, np.int64)
+    body = np.frombuffer(block, "<u2", int(used.sum()), HEAD.size + 4 * lanes).astype(np.int64)
+    body = np.concatenate([body, np.zeros(1, np.int64)])
+    ends = np.cumsum(used)
+    place = ends - used
 
     def digit(at: np.ndarray) -> np.ndarray:
-        place = np.where(taken[at] < used[at], starts[at] + taken[at], len(body) - 1)
-        taken[at] += 1
-        return body[place]
+        here = place[at]
+        place[at] += 1
+        return np.where(here < ends[at], body[np.minimum(here, len(body) - 1)], 0)
 
-    rows = np.arange(lanes)
-    code = np.zeros(lanes, np.uint64)  # what is left of the number above low
+    code = np.zeros(lanes, np.int64)  # what is left of the number above low
     for _ in range(3):
-        code = (code << np.uint64(DIGIT)) | digit(rows)
-    mixer, size = Mixer(alphabet, lanes, inverse=True), np.full(lanes, 1 << LOW_BITS + DIGIT, np.uint64)
+        code = (code << DIGIT) | digit(np.arange(lanes))
+    mixer, size = Mixer(alphabet, lanes, inverse=True), np.full(lanes, 1 << LOW_BITS + DIGIT)
     grid = np.zeros((length, lanes), np.int64)
     for step in range(length):
-        unit = size >> np.uint64(24)
-        ids = mixer.find(np.minimum((code // unit).astype(np.int64), TOTAL - 1))
+        unit = size >> 24
+        ids = mixer.find(np.minimum((code / unit).astype(np.int64), TOTAL - 1))  # code is below 2^48, unit below 2^25: exact as in find()
         start, width = mixer.interval(ids)
-        code -= unit * start.astype(np.uint64)
-        size = unit * width.astype(np.uint64)
-        while True:
-            at = np.flatnonzero(size <= np.uint64(1 << LOW_BITS))
-            if not len(at):
-                break
-            code[at] = (code[at] << np.uint64(DIGIT)) | digit(at)
-            size[at] <<= np.uint64(DIGIT)
+        code -= unit * start
+        size = unit * width
+        at = np.flatnonzero(size <= 1 << LOW_BITS)
+        while len(at):
+            code[at] = (code[at] << DIGIT) | digit(at)
+            size[at] <<= DIGIT
+            at = at[size[at] <= 1 << LOW_BITS]
         mixer.learn(ids)
         grid[step] = ids
     out = grid.T.ravel()[:n]

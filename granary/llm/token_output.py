@@ -23,6 +23,7 @@ Ids must be whole numbers; other columns don't matter.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -45,6 +47,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MAGIC, HEAD = b"GTS1", struct.Struct("<4sII")
 SEGMENT = token_codec.BLOCK
 REMEMBERED = 800_000
+#: Bytes of text that are encoded at a time: the more, the fewer distinct words to look up.
+SLICE = 4 << 20
 #: Characters for which splitting and lower-casing here and in the library agree: printable ASCII, tab, line breaks and Latin-1 letters.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The vocabulary's pre-tokenizer, as its file states it (a fixed value), and what it comes to after lower-casing PLAIN text.
@@ -81,66 +85,71 @@ class Encoder:
 
     def clear(self) -> None:
         """Forget everything. Words between white space and pre-tokens share one table: each has a place in the pool of ids."""
-        encoder = self
+        pool, start, length = self.pool, self.start, self.length = array("i"), array("i"), array("i")
+        tokenize, letter = self.model.tokenize, self.letters.__getitem__
 
         class Known(dict):
             def __missing__(self, word: str) -> int:
-                pieces = PIECES.findall(word)
-                if len(pieces) == 1:
-                    ids = [t.id for t in encoder.model.tokenize(word if word.isascii() else "".join(map(encoder.letters.__getitem__, word.encode())))]
+                if word.isalpha() or len(pieces := PIECES.findall(word)) == 1:  # PLAIN's lower-cased letters are one pre-token
+                    ids = [t.id for t in tokenize(word if word.isascii() else "".join(map(letter, word.encode())))]
                 else:
                     ids = []
                     for at in map(self.__getitem__, pieces):
-                        ids += encoder.pool[encoder.start[at] : encoder.start[at] + encoder.length[at]]
-                return encoder.take(word, ids)
+                        ids += pool[start[at] : start[at] + length[at]]
+                return self.take(word, ids)
 
-        self.known = Known()
-        self.pool, self.start, self.length = array("i"), array("i"), array("i")
-        self.take("", [self.end])
+            def take(self, word: str, ids: list[int]) -> int:
+                self[word] = at = len(start)
+                start.append(len(pool))
+                length.append(len(ids))
+                pool.extend(ids)
+                return at
 
-    def take(self, word: str, ids: list[int]) -> int:
-        at = len(self.start)
-        self.start.append(len(self.pool))
-        self.length.append(len(ids))
-        self.pool.extend(ids)
-        self.known[word] = at
-        return at
+        self.known = Known()
+        self.known.take("", [self.end])
 
     def plain(self, text: str) -> bool:
         return self.by_piece and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and how many each text has."""
-        out, counts, run = [], np.zeros(len(texts), np.int64), []
+        plain = [self.plain(text) for text in texts]
+        known, counts = self.of_plain([t for t, p in zip(texts, plain, strict=True) if p])
+        if all(plain):
+            return known, counts
+        ends, out = iter(np.cumsum(counts).tolist()), []
+        counts = iter(counts.tolist())
+        for text, p in zip(texts, plain, strict=True):
+            if p:
+                stop = next(ends)
+                out.append(known[stop - next(counts) : stop])
+            else:
+                out.append(np.array([*self.whole.encode(text, add_special_tokens=False).ids, self.end], np.int32))
+        return np.concatenate(out), np.array(list(map(len, out)), np.int64)
+
+    def of_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain texts. Arrow splits them and finds the distinct words, so that only these are looked up one by one."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self.known) > REMEMBERED:
             self.clear()
-
-        def flush() -> None:
-            if run:
-                at = np.concatenate([places for _, places in run])
-                pool, start, lengths = (np.frombuffer(x, x.typecode) for x in (self.pool, self.start, self.length))
-                length = lengths[at]
-                ends = np.cumsum(length, dtype=np.int32)
-                out.append(pool[np.repeat(start[at] - ends + length, length) + np.arange(ends[-1], dtype=np.int32)])
-                firsts = np.cumsum([0, *(len(places) for _, places in run)][:-1])
-                counts[[k for k, _ in run]] = np.add.reduceat(length, firsts)
-                run.clear()
-
-        for k, text in enumerate(texts):
-            if self.plain(text):
-                text = text.lower()
-                if b"!!" not in text.encode("latin-1").translate(SYMBOLS):  # then a comma or full stop is a pre-token by itself wherever it stands
-                    text = text.replace(",", " , ").replace(".", " . ")
-                words = text.split()
-                words.append("")
-                run.append((k, np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))))
-            else:
-                flush()
-                ids = self.whole.encode(text, add_special_tokens=False).ids
-                out.append(np.array([*ids, self.end], np.int32))
-                counts[k] = len(ids) + 1
-        flush()
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), counts
+        ready = []
+        for text in texts:
+            text = text.lower()
+            if b"!!" not in text.encode("latin-1").translate(SYMBOLS):  # then a comma or full stop is a pre-token by itself wherever it stands
+                text = text.replace(",", " , ").replace(".", " . ")
+            text = text.strip()
+            ready.append(text and text + " ")  # splits to its words and an empty one, which stands for the end id
+        split = pc.ascii_split_whitespace(pa.array(ready, pa.large_string()))
+        words = split.values.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))
+        pool, start, lengths = (np.frombuffer(x, x.typecode) for x in (self.pool, self.start, self.length))
+        word = words.indices.to_numpy()
+        length = lengths[at][word]
+        ends = np.cumsum(length, dtype=np.int64)
+        ids = pool[np.repeat(start[at][word] - ends + length, length) + np.arange(ends[-1])]
+        return ids, np.add.reduceat(length, split.offsets.to_numpy()[:-1], dtype=np.int64)
 
 
 ENCODERS: dict[tuple, Encoder] = {}
@@ -153,6 +162,14 @@ def encoder(path: str, end: int) -> Encoder:
     return ENCODERS[path, end]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE bytes of its second column each, whole rows."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // SLICE)) + 1).tolist(), batch.num_rows]
+    for low, high in itertools.pairwise(cuts):
+        yield batch.slice(low, high - low)
+
+
 def pack(doc_ids: list, counts: list[int], ids: np.ndarray, alphabet: int) -> bytes:
     blocks = [token_codec.encode(ids[k : k + token_codec.BLOCK], alphabet) for k in range(0, len(ids), token_codec.BLOCK)]
     parts = [
@@ -199,8 +216,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                some = batch.slice(low, 64)
+            for some in slices(batch):
                 ids, counts = enc.encode([t or "" for t in some.column(1).to_pylist()])
                 ends = np.cumsum(counts)
                 for doc, count, stop in zip(some.column(0).to_pylist(), counts.tolist(), ends.tolist(), strict=True):
