@@ -142,13 +142,13 @@ class Encoder:
             ready.append(text and text + " ")  # splits to its words and an empty one, which stands for the end id
         split = pc.ascii_split_whitespace(pa.array(ready, pa.large_string()))
         words = split.values.dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))
         pool, start, lengths = (np.frombuffer(x, x.typecode) for x in (self.pool, self.start, self.length))
         word = words.indices.to_numpy()
         length = lengths[at][word]
-        ends = np.cumsum(length, dtype=np.int64)
-        ids = pool[np.repeat(start[at][word] - ends + length, length) + np.arange(ends[-1])]
+        ends = np.cumsum(length, dtype=np.int32)
+        ids = pool[np.repeat(start[at][word] - ends + length, length) + np.arange(ends[-1], dtype=np.int32)]
         return ids, np.add.reduceat(length, split.offsets.to_numpy()[:-1], dtype=np.int64)
 
 
