@@ -62,8 +62,13 @@ def media_type(x: Column) -> Column:
     return found
 
 
+def base64_text(x: Column) -> Column:
+    """One line, also where Spark breaks base64 into lines of 76 characters (spark.sql.chunkBase64String.enabled)."""
+    return F.replace(F.base64(x), F.lit("\r\n"), F.lit(""))
+
+
 def data_uri(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.concat(F.lit("data:"), media_type(x), F.lit(";base64,"), F.base64(x)))
+    return F.when(x.isNotNull(), F.concat(F.lit("data:"), media_type(x), F.lit(";base64,"), base64_text(x)))
 
 
 def as_text(x: Column, column: Y.Column) -> Column:

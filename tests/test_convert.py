@@ -1,5 +1,6 @@
 """Conversions: boundary values."""
 
+import base64
 import datetime
 import struct
 import uuid
@@ -48,6 +49,20 @@ def test_parsing(spark):
     assert one(spark, convert.parse_text(F.lit("{ABC}"), Column("g", "guid"))) == "abc"
 
 
+@pytest.mark.parametrize("chunked", ["true", "false"])
+@pytest.mark.parametrize("size", [0, 57, 58, 1000])
+def test_data_uris_are_one_line(spark, size, chunked):
+    """57 bytes are the most that fit a line of base64."""
+    data, name = bytes(k % 251 for k in range(size)), "spark.sql.chunkBase64String.enabled"
+    spark.conf.set(name, chunked)
+    try:
+        uri = one(spark, convert.as_text(F.lit(data), Column("o", "ole")))
+        assert uri == "data:application/octet-stream;base64," + base64.b64encode(data).decode()
+        assert bytes(one(spark, convert.parse_bytes(F.lit(uri)))) == data
+    finally:
+        spark.conf.unset(name)
+
+
 def test_expressions():
     guid = uuid.UUID(int=5)
     values = [(True, "True"), (False, "False"), ('a"b', '"a""b"'), (42, "42"), (1.5, "1.5"), (2.0, "2"), (Decimal("1.50"), "1.50"), (datetime.datetime(2020, 1, 2, 3, 4, 5), "#2020-01-02 03:04:05#"), (guid, f"{{guid {{{guid}}}}}")]
