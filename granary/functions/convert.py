@@ -8,9 +8,10 @@ import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,19 +172,43 @@ def expression_column(x: Column, kind: str) -> Column:
 COMPRESSED = ("jpg", "zip", "gz", "bz2", "z", "7z", "cab", "rar", "mp3", "mpg")
 
 
+#: Bytes after which a worker hands on what it has made of a batch.
+PIECE = 1_000_000
+
+
+def cells(x: pa.Array) -> Iterator[Any]:
+    """One at a time; a whole batch as Python objects would be held twice."""
+    return (cell.as_py() for cell in x)
+
+
+def in_pieces(values: Iterable[bytes | None]) -> Iterator[pa.Array]:
+    """The values in arrays of about PIECE bytes, so that a worker holds no copy of a batch for every step."""
+    held, size = [], 0
+    for value in values:
+        held.append(value)
+        size += len(value or b"")
+        if size >= PIECE:
+            yield pa.array(held, pa.binary())
+            held, size = [], 0
+    if held:
+        yield pa.array(held, pa.binary())
+
+
 def wrap_attachments(df: DataFrame, data: str, kind: str, out: str) -> DataFrame:
     """Adds the stored form of attachments: flag (1: deflated) and length as uint32, then header length, version, type length and type in UTF-16, then the contents."""
-    @F.pandas_udf("binary")
-    def of(contents: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else pack_attachment(bytes(c), k or "") for c, k in zip(contents, kinds, strict=True)])
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for contents, kinds in batches:
+            yield from in_pieces(None if c is None else pack_attachment(c, k or "") for c, k in zip(cells(contents), cells(kinds), strict=True))
 
     return df.withColumn(out, of(F.col(data), F.col(kind)))
 
 
 def unwrap_attachments(df: DataFrame, data: str, out: str) -> DataFrame:
-    @F.pandas_udf("binary")
-    def of(contents: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else unpack_attachment(bytes(c)) for c in contents])
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in batches:
+            yield from in_pieces(None if c is None else unpack_attachment(c) for c in cells(contents))
 
     return df.withColumn(out, of(F.col(data)))
 
@@ -215,9 +240,10 @@ def unpack_attachment(stored: bytes) -> bytes:
 
 def unwrap_packages(df: DataFrame, data: str, out: str) -> DataFrame:
     """Adds the file embedded in each OLE package; other payloads come back as they are."""
-    @F.pandas_udf("binary")
-    def of(contents: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else unpack_package(bytes(c)) for c in contents])
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in batches:
+            yield from in_pieces(None if c is None else unpack_package(c) for c in cells(contents))
 
     return df.withColumn(out, of(F.col(data)))
 

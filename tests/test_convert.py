@@ -1,7 +1,11 @@
 """Conversions: boundary values."""
 
 import base64
+import contextlib
 import datetime
+import os
+import pathlib
+import re
 import struct
 import uuid
 import zlib
@@ -86,6 +90,38 @@ def test_attachments_and_packages():
         assert convert.unpack_package(odd) == odd
 
 
+@pytest.mark.skipif(not os.path.isdir("/proc/self"), reason="reads the workers' memory from /proc")
+def test_attachments_are_handed_on_in_pieces(spark):
+    """A worker holds the batch that it was sent, here 60 MB, and not every step's copy of it."""
+    spark.sparkContext.environment["ATTACHMENTS"] = "pieces"  # gets workers of its own
+    try:
+        df = spark.range(0, 6000, 1, 1).select(F.unhex(F.repeat(F.sha2(F.col("id").cast("string"), 256), 313)).alias("raw"), F.lit("zip").alias("kind"))
+        back = convert.unwrap_attachments(convert.wrap_attachments(df, "raw", "kind", "stored"), "stored", "file")
+        assert back.filter("raw = file").count() == 6000
+        peaks = []
+        for at in pathlib.Path("/proc").glob("[0-9]*"):
+            with contextlib.suppress(OSError):
+                if b"ATTACHMENTS=pieces" in (at / "environ").read_bytes():
+                    peaks += [int(n) // 1024 for n in re.findall(r"VmHWM:\s+(\d+)", (at / "status").read_text())]
+        assert peaks and max(peaks) < 400
+    finally:
+        del spark.sparkContext.environment["ATTACHMENTS"]
+
+
+def test_attachments_and_packages_by_rows(spark):
+    """Nulls, empty and large cells keep their rows, over several batches and pieces."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        n = F.col("id")
+        raw = F.when(n % 5 == 0, F.lit(None)).when(n % 5 == 1, F.lit("")).when(n % 5 == 2, F.repeat(n.cast("string"), 400_000)).otherwise(n.cast("string")).cast("binary")
+        df = spark.range(0, 60, 1, 3).select("id", raw.alias("raw"), F.when(n % 3 == 0, "zip").when(n % 3 == 1, "txt").alias("kind"))
+        back = convert.unwrap_packages(convert.unwrap_attachments(convert.wrap_attachments(df, "raw", "kind", "stored"), "stored", "file"), "file", "plain")
+        assert back.filter("file <=> raw and plain <=> raw and (stored is null) = (raw is null)").count() == 60
+        assert back.select("id", "file").filter("file is null").count() == 12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_definitions():
     for bad in (Column("", "text"), Column("a", "nope"), Column("a", "text", size=256), Column("a", "decimal", precision=29), Column("a", "decimal", precision=5, scale=6), Column("a", "text", auto=True), Column("a", "int32", expression="[b]+1"), Column("a", "multivalue", element="ole?")):
         with pytest.raises(StoreError):
